@@ -29,7 +29,7 @@ from lexiloom.functions.unicode import letters_digits_key
 from lexiloom.session import Scratch
 
 BITS_PER_RECORD = 16
-MAX_FILTER_BITS = 1 << 30
+MAX_FILTER_BITS = 1 << 31
 MIN_FILTER_BITS = 1 << 18
 #: Bits of one segment, the unit in which filters are merged.
 SEGMENT_BITS = 1 << 18
