@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Bootstrap size and seed, split share, rank cut-offs.
 RESAMPLES, SEED = 1000, 20260811
@@ -95,7 +96,7 @@ def discordant(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.agg(F.sum(F.when(F.col(a) & ~F.col(b), 1).otherwise(0)).alias("only_a"), F.sum(F.when(~F.col(a) & F.col(b), 1).otherwise(0)).alias("only_b"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def mcnemar_p(only_a: pd.Series, only_b: pd.Series) -> pd.Series:
     """Exact two-sided binomial tail on the discordant pairs; 1 if there are none."""
 
