@@ -17,6 +17,7 @@ from lexiloom.functions import scalars as S
 from lexiloom.functions.unicode import strip_pitch_marks
 from lexiloom.operators import align, rules
 from lexiloom.profiles import LanguageProfile
+from lexiloom.session import Scratch
 
 # Window sizes and confidence floors.
 K = 2
@@ -159,13 +160,13 @@ def _preselect(queries: DataFrame, pool: DataFrame, lexicon: DataFrame, window:
     return m.withColumn("_rn", rn).where(F.col("_rn") <= F.col("_window")).select("qid", "id", F.col("_rn").alias("pos"))
 
 
-def candidates(queries: DataFrame, lexicon: DataFrame) -> DataFrame:
+def candidates(queries: DataFrame, lexicon: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(qid, id, pos, path): every query's candidates by the path it takes.
 
     Paths: seeded, seeded_partial, unigram, unigram_partial, proximity, proximity_partial.
     """
     index, index1 = postings(lexicon), postings(lexicon, "unigrams")
-    found = seeds(queries, index)
+    found = scratch.write(seeds(queries, index), "seeds") if scratch else seeds(queries, index)
     partial, whole = queries.where("shape is not null"), queries.where("shape is null")
     has_seed = found.select("qid").distinct()
 
@@ -310,8 +311,11 @@ def search(queries: DataFrame, lexicon: DataFrame, profile: LanguageProfile, rul
     """
     if results <= 0:
         raise ValueError("results must be positive")
-    q = prepare_queries(queries, profile, dialect, results)
-    scored = score(candidates(q, lexicon), q, lexicon, profile)
+    # written once, as several branches of the plan read each: conversion, seeding and alignment run once
+    scratch = Scratch(queries.sparkSession, "search")
+    q = scratch.write(prepare_queries(queries, profile, dialect, results), "queries")
+    lexicon = scratch.write(lexicon, "lexicon")
+    scored = scratch.write(score(candidates(q, lexicon, scratch), q, lexicon, profile), "scored")
     out = classify(finalize(scored, ruleset or rules.RuleSet([])))
     return out.select(
         "qid", "query", "mode", "path", "rank", "id", "headword", "ipa", "confidence", "distance", "match_type", "uncertainty", "bucket",
