@@ -26,7 +26,7 @@ SEED = 20_240_501
 def rates(counted: DataFrame, targets: DataFrame) -> DataFrame:
     """Targets with ``tokens`` available, the ``share`` among reachable sources and the ``rate``."""
     sums = counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("documents"))
-    t = targets.join(sums, "source", "left").na.fill(0, ["tokens", "documents"])
+    t = targets.select("source", "target_share", "max_repeats").join(sums, "source", "left").na.fill(0, ["tokens", "documents"])
     usable = (F.col("tokens") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
     # one partition: as many rows as there are targets
     every = Window.partitionBy()
@@ -52,7 +52,7 @@ def shares(mixed: DataFrame, counted: DataFrame, targets: DataFrame) -> DataFram
     out = rates(counted, targets).join(got, "source", "left").na.fill(0, ["used", "used_tokens", "most_repeats"])
     return out.select(
         "source", "target_share", "max_repeats", "tokens", "documents", "share", "rate", "used", "used_tokens", "most_repeats",
-        (F.col("used_tokens") / F.sum("used_tokens").over(every)).alias("actual_share"),
+        F.try_divide(F.col("used_tokens"), F.sum("used_tokens").over(every)).alias("actual_share"),
     )
 
 

@@ -28,7 +28,7 @@ def _assigned(spark: SparkSession, d: str) -> DataFrame:
     records = _table(spark, d, "choice_records").select("record_id", "source_file", "tm_id")
     comps = splits.components(splits.edges(records), scratch)
     label = F.regexp_extract(F.lower("source_file"), r"([a-z]+)[^a-z]+([a-z]+)", 0)
-    rows = splits.component_of(records.select("record_id", "source_file", label.alias("label")), comps, "source_file")
+    rows = splits.component_of(records.select("record_id", "source_file", "tm_id", label.alias("label")), comps, "source_file", "tm_id")
     rows = scratch.write(rows.select("record_id", F.coalesce("component", F.concat(F.lit("r"), F.col("record_id"))).alias("component"), "label"), "rows")
     sized = scratch.write(rows.groupBy("component", "label").agg(F.count("*").alias("n")), "sized")
     return rows.join(splits.assign_splits(sized, TARGETS), "component")

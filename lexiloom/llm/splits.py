@@ -41,10 +41,16 @@ def papyri(text: Column) -> Column:
     return F.array_distinct(F.filter(numbers, lambda x: x != ""))
 
 
+def file_key(file_col: str, entity_col: str | None = None) -> Column:
+    """Canonical file; without a file, records with the same entity text stand together in its place."""
+    key = letters_digits_key(file_col)
+    return F.coalesce(key, F.concat(F.lit("\x01"), F.col(entity_col))) if entity_col else key
+
+
 def edges(records: DataFrame, file_col: str = "source_file", entity_col: str = "tm_id") -> DataFrame:
     """Distinct (f, e): canonical file and an entity it is tied to; files without any are left out."""
     pairs = records.select(F.col(file_col).alias("_f"), F.col(entity_col).alias("_e")).distinct()
-    return pairs.select(letters_digits_key("_f").alias("f"), F.explode(papyri(F.col("_e"))).alias("e")).where("f is not null").distinct()
+    return pairs.select(file_key("_f", "_e").alias("f"), F.explode(papyri(F.col("_e"))).alias("e")).where("f is not null").distinct()
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -76,9 +82,9 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     return files.join(labels.select("id", "label"), "id").select("f", "label")
 
 
-def component_of(rows: DataFrame, comps: DataFrame, file_col: str) -> DataFrame:
-    """``rows`` with ``component``; a file without shared entities is a component of its own."""
-    keyed = rows.withColumn("_f", letters_digits_key(file_col))
+def component_of(rows: DataFrame, comps: DataFrame, file_col: str, entity_col: str | None = None) -> DataFrame:
+    """``rows`` with ``component``; a file without shared entities is a component of its own, no file and entity give null."""
+    keyed = rows.withColumn("_f", file_key(file_col, entity_col))
     joined = keyed.join(comps.select(F.col("f").alias("_c"), F.col("label").alias("_low")), F.col("_f") == F.col("_c"), "left")
     own = F.coalesce(F.concat(F.lit("c"), F.col("_low").cast("string")), F.concat(F.lit("f"), F.col("_f")))
     return joined.withColumn("component", own).drop("_c", "_f", "_low")
