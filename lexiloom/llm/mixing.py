@@ -33,7 +33,8 @@ def rates(counted: DataFrame, targets: DataFrame) -> DataFrame:
     share = F.when(usable, F.col("target_share") / F.sum(F.when(usable, F.col("target_share"))).over(every))
     t = t.withColumn("share", share)
     size = F.min(F.col("max_repeats") * F.col("tokens") / F.col("share")).over(every)
-    return t.withColumn("rate", F.coalesce(F.least(F.col("max_repeats").cast("double"), size * F.col("share") / F.col("tokens")), F.lit(0.0)))
+    rate = F.least(F.col("max_repeats").cast("double"), size * F.col("share") / F.col("tokens"))
+    return t.withColumn("rate", F.when(F.col("share").isNotNull(), rate).otherwise(0.0))
 
 
 def mix(counted: DataFrame, targets: DataFrame, id_col: str = "doc_id", seed: int = SEED) -> DataFrame:
