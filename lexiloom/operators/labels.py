@@ -25,7 +25,8 @@ def label_pair(a: str, b: str) -> list[str]:
         x, y = a[i:j], b[k:m]
         named = next((n for n, p, q in ALTERNATIONS if {x, y} == {p, q}), None)
         if named is None and op != "replace":
-            named = "doubling" if (x or y)[0] in (a[i - 1 : i], b[k - 1 : k]) else op
+            around = (a[i - 1 : i], a[j : j + 1]) if i else (a[j : j + 1],)
+            named = "doubling" if x + y in around else op
         out.append(named or "other")
     return out
 

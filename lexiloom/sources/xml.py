@@ -141,6 +141,7 @@ BREAKS = frozenset({"ab", "p", "div", "lg", "l", "head", "gap"})
 def _running(path: str, root: ET.Element) -> Iterator[tuple]:
     """Lines of the body: a line break within a word glues it, gaps and blocks end a line."""
     parts: list[str] = []
+    flat = lambda t: re.sub(r"\s+", " ", t or "")
     # an explicit stack keeps deep documents from exhausting the interpreter's own
     todo: list = [root]
     while todo:
@@ -151,17 +152,17 @@ def _running(path: str, root: ET.Element) -> Iterator[tuple]:
         tag = _tag(e)
         end = "\n" if tag in BREAKS else ""
         if tag in OPAQUE:
-            todo.append(e.tail or "")
+            todo.append(flat(e.tail))
             continue
         if tag == "lb":
             parts.append("" if e.get("break") == "no" else " ")
         elif end:
             parts.append(end)
-        todo.append(e.tail or "")
+        todo.append(flat(e.tail))
         todo.append(end)
         for x in reversed(list(e)):
             todo.append(x)
-        todo.append(re.sub(r"\s+", " ", e.text or ""))
+        todo.append(flat(e.text))
     for n, line in enumerate(x for x in (re.sub(r"\s+", " ", p).strip() for p in "".join(parts).split("\n")) if x):
         yield path, n, line
 

@@ -16,7 +16,7 @@ def lexicon(spark):
 
 @pytest.fixture(scope="module")
 def results(spark, lexicon):
-    queries = [(1, "pten"), (2, "pte"), (3, "pt-n"), (4, "eo"), (5, "kt-"), (6, "ptenn"), (7, "-en"), (8, "k")]
+    queries = [(1, "pten"), (2, "pte"), (3, "pt-n"), (4, "oo"), (5, "kt-"), (6, "ptenn"), (7, "-en"), (8, "k")]
     got = P.search(spark.createDataFrame(queries, "qid int, query string"), lexicon, TOY, RULES).collect()
     out = {}
     for r in sorted(got, key=lambda r: (r["qid"], r["rank"])):
@@ -40,12 +40,14 @@ def test_full_form(results):
     assert results[1][2]["dialect_attribution"] == "lemma dialect: unknown"
 
 
-def test_paths_and_modes(results):
+def test_paths_and_modes(spark, lexicon, results):
     assert {r["mode"] for r in results[2]} == {"Short-query"} and results[2][0]["id"] == "L1"
     assert results[3][0]["mode"] == "Partial-form" and results[3][0]["id"] == "L1"
     assert results[5][0]["id"] == "L3" and results[7][0]["path"].endswith("partial")
     assert results[4][0]["path"] == "proximity" and results[4][0]["id"] == "oo"
-    assert all(r["path"] == "unigram" for r in results[8])
+    q = P.prepare_queries(spark.createDataFrame([(8, "k"), (9, "e"), (10, "e-k")], "qid int, query string"), TOY)
+    got = {(r["qid"], r["path"]) for r in P.candidates(q, lexicon).collect()}
+    assert got == {(8, "unigram"), (9, "proximity"), (10, "unigram_partial")} and 8 not in results
 
 
 def test_near_length_is_round_robin(spark):
