@@ -1,12 +1,16 @@
 """Unicode scalars that stay in the JVM.
 
 Spark has no NFC/NFD function, but it ships ICU4J for its collations; its static
-methods take and give plain strings and are reached through ``java_method``.
-All functions give null for null.
+methods take and give plain strings and are reached through ``java_method``, which
+must not get nulls.  All functions here give null for null and evaluate their
+argument once: a named column is tested for null beside the call, any other
+expression is first bound to a lambda's variable.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,49 +18,73 @@ _NORMALIZER = "com.ibm.icu.text.Normalizer"
 _CHARACTER = "com.ibm.icu.lang.UCharacter"
 
 
-def _col(c: Column | str) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+def _icu(cls: str, method: str, c: Column, flag: bool) -> Column:
+    return F.call_function("java_method", F.lit(cls), F.lit(method), c, F.lit(flag))
+
 
+def _compose(c: Column) -> Column:
+    return _icu(_NORMALIZER, "compose", c, False)
 
-def _icu(cls: str, method: str, c: Column, flag: bool) -> Column:
-    called = F.call_function("java_method", F.lit(cls), F.lit(method), F.coalesce(c, F.lit("")), F.lit(flag))
-    return F.when(c.isNotNull(), called)
+
+def _decompose(c: Column) -> Column:
+    return _icu(_NORMALIZER, "decompose", c, False)
+
+
+def _fold(c: Column) -> Column:
+    return _icu(_CHARACTER, "foldCase", c, True)
+
+
+def _safely(c: Column | str, chain: Callable[[Column], Column]) -> Column:
+    """``chain`` over a value that is not null, null otherwise."""
+
+    def guarded(x: Column) -> Column:
+        return F.when(x.isNotNull(), chain(F.coalesce(x, F.lit(""))))
+
+    if isinstance(c, str):
+        return guarded(F.col(c))
+    return F.element_at(F.transform(F.array(c), guarded), 1)
 
 
 def nfc(c: Column | str) -> Column:
-    return _icu(_NORMALIZER, "compose", _col(c), False)
+    return _safely(c, _compose)
 
 
 def nfd(c: Column | str) -> Column:
-    return _icu(_NORMALIZER, "decompose", _col(c), False)
+    return _safely(c, _decompose)
 
 
 def casefold(c: Column | str) -> Column:
     """Full case folding (final sigma folds to sigma, sharp s to ss)."""
-    return _icu(_CHARACTER, "foldCase", _col(c), True)
+    return _safely(c, _fold)
 
 
 def caseless(c: Column | str) -> Column:
     """Canonical caseless form: decomposed, folded, decomposed again."""
-    return nfd(casefold(nfd(c)))
+    return _safely(c, lambda x: _decompose(_fold(_decompose(x))))
 
 
 def letters_digits_key(c: Column | str) -> Column:
     """What is left when only letters with their marks and digits are kept and case is ignored."""
-    return F.regexp_replace(caseless(c), r"[^\p{L}\p{M}\p{N}]+", "")
+    return _safely(c, lambda x: F.regexp_replace(_decompose(_fold(_decompose(x))), r"[^\p{L}\p{M}\p{N}]+", ""))
 
 
 def strip_marks(c: Column | str) -> Column:
     """Drop every nonspacing mark and recompose."""
-    return nfc(F.regexp_replace(nfd(c), r"\p{Mn}+", ""))
+    return _safely(c, lambda x: _compose(F.regexp_replace(_decompose(x), r"\p{Mn}+", "")))
 
 
 def strip_pitch_marks(c: Column | str, recompose: bool = True) -> Column:
     """Drop exactly the grave, acute, circumflex and perispomeni marks."""
-    bare = F.regexp_replace(nfd(c), "[̀́̂͂]", "")
-    return nfc(bare) if recompose else bare
+    marks = "[̀́̂͂]"
+
+    def chain(x: Column) -> Column:
+        bare = F.regexp_replace(_decompose(x), marks, "")
+        return _compose(bare) if recompose else bare
+
+    return _safely(c, chain)
 
 
 def trim_blank(c: Column | str) -> Column:
     """Trim blanks of any kind, not only the ASCII space."""
-    return F.regexp_replace(_col(c), r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$", "")
+    c = F.col(c) if isinstance(c, str) else c
+    return F.regexp_replace(c, r"^[\s\p{Z}\x1c-\x1f\x85]+|[\s\p{Z}\x1c-\x1f\x85]+$", "")

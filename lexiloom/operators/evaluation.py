@@ -164,8 +164,127 @@ def apply_facets(rows: DataFrame, facets: list[Column], keep_unknown: bool = Tru
     return rows.where(cond)
 
 
-def zone(cost: Column, confident: float = 2.0) -> Column:
-    return F.when(cost <= confident, "confident").otherwise("explore")
+def zone(reachable: Column) -> Column:
+    """confident where a named alternation reaches the candidate, else explore."""
+    return F.when(reachable, "confident").otherwise("explore")
+
+
+def zone_of_cost(cost: Column) -> Column:
+    """The naive zone, from the cost alone: plain edit distance leaves a half."""
+    return F.when(cost % 1.0 == 0.5, "explore").otherwise("confident")
+
+
+def keep_equal(wanted: Column, found: Column) -> Column:
+    """A facet that keeps on equality and is unknown where either side is."""
+    return wanted == found
+
+
+def keep_attested(histogram: Column, keys: Column) -> Column:
+    """A facet that keeps what is attested under one of the keys; unknown without a histogram."""
+    return F.when(F.size(histogram) > 0, F.exists(keys, lambda k: F.coalesce(F.try_element_at(histogram, k), F.lit(0).cast("bigint")) > 0))
+
+
+def keep_initial(query_key: Column, candidate_key: Column) -> Column:
+    """A facet on the first letter of the base keys; unknown for empty keys."""
+    return F.when((query_key != "") & (candidate_key != ""), F.substring(query_key, 1, 1) == F.substring(candidate_key, 1, 1))
+
+
+def measure_facets(rows: DataFrame, facets: list[Column], key: list[str], gold: str, keep_unknown: bool = True) -> DataFrame:
+    """Candidates and gold candidates before and after the facets, and tokens that lost their gold."""
+    ok = F.lit(True)
+    for f in facets:
+        ok = ok & F.coalesce(f, F.lit(keep_unknown))
+    per = rows.withColumn("_ok", ok).groupBy(*key).agg(
+        F.count("*").alias("_n"), F.sum(F.col("_ok").cast("int")).alias("_k"), F.bool_or(F.col(gold)).alias("_g"), F.bool_or(F.col(gold) & F.col("_ok")).alias("_h")
+    )
+    return per.agg(
+        F.count("*").alias("tokens"), F.sum("_n").alias("candidates"), F.sum("_k").alias("kept"), F.sum(F.col("_g").cast("int")).alias("gold"),
+        F.sum(F.col("_h").cast("int")).alias("gold_kept"), F.sum((F.col("_g") & ~F.col("_h")).cast("int")).alias("gold_lost"),
+    )
+
+
+def grouped_examples(rows: DataFrame, key: str, example: str, min_count: int = 2, most: int = 8) -> DataFrame:
+    """(key, n, examples): groups of at least ``min_count`` rows with their first distinct examples.
+
+    Examples are cut to ``most`` per partition before they are gathered, so no group is held whole.
+    """
+    n = rows.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") >= min_count)
+    rn = F.row_number().over(Window.partitionBy(key).orderBy(example))
+    few = rows.select(key, example).distinct().withColumn("_rn", rn).where(F.col("_rn") <= most)
+    lists = few.groupBy(key).agg(F.array_sort(F.collect_list(example)).alias("examples"))
+    return n.join(lists, key)
+
+
+def vocabulary_coverage(words: DataFrame, vocabulary: DataFrame, word: str = "word") -> DataFrame:
+    """(n_words, n_known, coverage) of the distinct words."""
+    mine = words.select(F.col(word).alias("_w")).where("_w is not null").distinct()
+    known = vocabulary.select(F.col(word).alias("_w"), F.lit(1).alias("_k")).distinct()
+    return mine.join(known, "_w", "left").agg(F.count("*").alias("n_words"), F.count("_k").alias("n_known")).withColumn("coverage", F.try_divide("n_known", "n_words"))
+
+
+def nested_ceilings(rows: DataFrame, **tests: Column) -> DataFrame:
+    """How many rows pass the first test, the first two, and so on: a reachability ceiling."""
+    out, so_far = [F.count("*").alias("n")], F.lit(True)
+    for name, c in tests.items():
+        so_far = so_far & F.coalesce(c, F.lit(False))
+        out.append(F.sum(so_far.cast("int")).alias(name))
+    return rows.agg(*out)
+
+
+def budget_prefix(files: DataFrame, order: str, size: str, budget: float, buckets: int = 1024) -> DataFrame:
+    """Files in order until their running size reaches the budget, the one that reaches it included.
+
+    Sizes are summed over ranges of the order first, so no task sorts all files.
+    """
+    ranged = files.repartitionByRange(min(buckets, 64), order).withColumn("_b", F.spark_partition_id())
+    sums = ranged.groupBy("_b").agg(F.sum(size).alias("_s"))
+    before = F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("_b", before.alias("_before"))
+    within = F.coalesce(F.sum(size).over(Window.partitionBy("_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return ranged.join(F.broadcast(sums), "_b").where(F.col("_before") < budget).withColumn("_run", F.col("_before") + within).where(F.col("_run") < budget).drop("_b", "_before", "_run")
+
+
+def positional_join(left: DataFrame, right: DataFrame, at: str, same: list[str]) -> DataFrame:
+    """Rows of equal place side by side; a missing place or a difference in ``same`` raises."""
+    r = right.select(*[F.col(c).alias(f"{c}_right") for c in right.columns])
+    both = left.join(r, F.col(at) == F.col(f"{at}_right"), "full")
+    off = F.col(at).isNull() | F.col(f"{at}_right").isNull()
+    for c in same:
+        off = off | ~F.col(c).eqNullSafe(F.col(f"{c}_right"))
+    checked = F.when(off, F.raise_error(F.lit("the two lists differ")).cast("string"))
+    return both.where(checked.isNull()).drop(f"{at}_right", *[f"{c}_right" for c in same])
+
+
+def evaluate_cases(expected: DataFrame, hits: DataFrame) -> DataFrame:
+    """Per case: matched headwords with their best rank, missing ones, and wrong hits that outrank an expected one.
+
+    ``expected`` is (case_id, headword, acceptable), one row per acceptable form; ``hits`` (case_id,
+    rank, headword).  If any headword is missing every wrong hit outranks it.
+    """
+    found = expected.join(hits.select("case_id", "rank", F.col("headword").alias("acceptable")), ["case_id", "acceptable"], "left")
+    best = found.groupBy("case_id", "headword").agg(F.min("rank").alias("rank"))
+    per = best.groupBy("case_id").agg(
+        F.array_sort(F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("headword", "rank")))).alias("matched"),
+        F.array_sort(F.collect_list(F.when(F.col("rank").isNull(), F.col("headword")))).alias("missing"),
+        F.max("rank").alias("_worst"),
+    )
+    wrong = hits.join(expected.select("case_id", F.col("acceptable").alias("headword")).distinct(), ["case_id", "headword"], "left_anti")
+    outrank = wrong.join(per.select("case_id", "_worst", (F.size("missing") > 0).alias("_m")), "case_id").where(F.col("_m") | (F.col("rank") < F.col("_worst")))
+    lists = outrank.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("rank", "headword"))).alias("outranking"))
+    empty = F.array().cast("array<struct<rank:int,headword:string>>")
+    return per.join(lists, "case_id", "left").select(
+        "case_id", (F.size("missing") == 0).alias("all_matched"), "matched", "missing", F.coalesce("outranking", empty).alias("outranking")
+    )
+
+
+def exclusion_costs(pairs: DataFrame, policies: dict[str, DataFrame], key: list[str], size: str) -> DataFrame:
+    """(policy, files, tokens, share): what each exclusion policy takes away."""
+    total = pairs.agg(F.sum(size).alias("_t"))
+    out = None
+    for name, gone in policies.items():
+        hit = pairs.join(gone.select(*key).distinct(), key, "left_semi").agg(F.count("*").alias("files"), F.coalesce(F.sum(size), F.lit(0)).alias("tokens")).withColumn("policy", F.lit(name))
+        out = hit if out is None else out.unionByName(hit)
+    return out.join(F.broadcast(total)).select("policy", "files", "tokens", F.try_divide(F.col("tokens"), F.col("_t")).alias("share"))
 
 
 def failure_bucket(hit: Column, reachable: Column, generated: Column) -> Column:

@@ -58,13 +58,39 @@ def ranked(cands: DataFrame, *order: Column) -> DataFrame:
 # --- re-rankers: Column expressions over a candidate table ------------------------
 
 
-def additive_score(form_freq: Column, lemma_freq: Column, cost: Column, century: Column | None = None, dialect: Column | None = None, genre: Column | None = None, pos_wrong: Column | None = None, penalty: float = 6.0) -> Column:
-    """log1p(form) + 0.5 log1p(lemma) - 3 cost, with optional bonuses and a part-of-speech penalty."""
-    s = F.log1p(form_freq) + 0.5 * F.log1p(lemma_freq) - 3 * cost
-    for bonus in (century, dialect, genre):
-        if bonus is not None:
-            s = s + F.log1p(F.coalesce(bonus, F.lit(0)))
-    return s - F.when(F.coalesce(pos_wrong, F.lit(False)), penalty).otherwise(0.0) if pos_wrong is not None else s
+def additive_score(form_freq: Column, lemma_freq: Column, cost: Column, bonus: Column | float = 0.0, penalty: Column | float = 0.0) -> Column:
+    """log1p(form) + 0.5 log1p(lemma) - 3 cost, plus a bonus, minus a penalty."""
+    return F.log1p(form_freq) + 0.5 * F.log1p(lemma_freq) - 3 * cost + bonus - penalty
+
+
+def share(histogram: Column, keys: Column, total: Column | None = None) -> Column:
+    """Share of a MAP<STRING, BIGINT> histogram that falls on the given keys; 0 for null or empty."""
+    hit = F.aggregate(keys, F.lit(0).cast("bigint"), lambda acc, k: acc + F.coalesce(F.try_element_at(histogram, k), F.lit(0).cast("bigint")))
+    whole = total if total is not None else F.aggregate(F.map_values(histogram), F.lit(0).cast("bigint"), lambda acc, v: acc + v)
+    return F.when(F.size(histogram) > 0, hit / F.greatest(whole, F.lit(1))).otherwise(0.0)
+
+
+def pos_penalty(wanted: Column, found: Column, penalty: float = 6.0) -> Column:
+    """The penalty where both parts of speech are known and differ: 6 for a sure tag, 1.5 for a tagger's."""
+    return F.when(wanted != found, penalty).otherwise(0.0)
+
+
+#: Weights of the century, dialect and genre shares and the penalty's factor by re-ranker.
+RERANKERS = {"R1": (0, 0, 0, 0), "R2": (2, 0, 0, 0), "R3": (0, 2, 0, 0), "R4": (0, 0, 2, 0), "R5": (0, 0, 0, 1), "R6": (2, 1, 1, 0), "R7": (2, 1, 1, 1)}
+
+
+def rerank_order(name: str, cost: Column, form_freq: Column, lemma_freq: Column, century: Column, dialect: Column, genre: Column, penalty: Column) -> tuple[Column, ...]:
+    """Sort keys of a re-ranker: R0 cost first, then frequencies; the others one additive score."""
+    if name == "R0":
+        return (cost.asc(), form_freq.desc(), lemma_freq.desc())
+    a, b, c, d = RERANKERS[name]
+    return (additive_score(form_freq, lemma_freq, cost, a * century + b * dialect + c * genre, d * penalty).desc(),)
+
+
+def reachable_by_rule(variants: Column, key: Column, source_collapsed: Column) -> Column:
+    """Whether the alternations could have produced the source: its collapsed key is a variant of the
+    query's, or one edit from the query's collapsed key.  The cost alone cannot tell, as it is a minimum."""
+    return F.array_contains(variants, source_collapsed) | (F.levenshtein(source_collapsed, key, 1) >= 0)
 
 
 def lm_order(cost: Column, form_freq: Column, lemma_freq: Column, lm: Column, weight: float = 2.0) -> tuple[Column, ...]:

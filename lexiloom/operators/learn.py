@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.operators.align import global_alignment_udf
+from lexiloom.session import spread
 
 #: Pairs with more phones on a side are left out.
 LONGEST = 200
@@ -17,7 +18,7 @@ def aligned_pairs(pairs: DataFrame, left: str, right: str) -> DataFrame:
     Equal pairs are aligned once each: callers group before and weigh after if they repeat.
     """
     ok = (F.size(left) > 0) & (F.size(right) > 0) & (F.size(left) <= LONGEST) & (F.size(right) <= LONGEST)
-    return pairs.where(ok).withColumn("alignment", global_alignment_udf()(left, right))
+    return spread(pairs.where(ok)).withColumn("alignment", global_alignment_udf()(left, right))
 
 
 def column_counts(aligned: DataFrame, weight: Column | None = None) -> DataFrame:

@@ -16,16 +16,21 @@ def padded(tokens: Column | str) -> Column:
 
 
 def ngrams(tokens: Column | str, n: int) -> Column:
-    """n-grams of the padded sentence: unigrams with both opening marks, bigrams from the second, trigrams whole."""
+    """ARRAY<STRUCT<w1..wn>> of the padded sentence: unigrams with both opening marks, bigrams from the second, trigrams whole.
+
+    Shifted copies are zipped, which stays in generated code.
+    """
     p = padded(tokens)
     first = 2 if n == 2 else 1
-    return F.transform(F.sequence(F.lit(first), F.size(p) - n + 1), lambda i: F.slice(p, i, F.lit(n)))
+    many = F.size(p) - (n - 1) - (first - 1)
+    return F.arrays_zip(*[F.slice(p, F.lit(first + i), many).alias(f"w{i + 1}") for i in range(n)])
 
 
 def counts(sentences: DataFrame, tokens: str, n: int) -> DataFrame:
     """(w1..wn, count); rows without tokens are left out.  Counts combine before the shuffle."""
-    rows = sentences.where(F.size(tokens) > 0).select(F.explode(ngrams(tokens, n)).alias("_g"))
-    return rows.groupBy(*[F.get("_g", F.lit(i)).alias(f"w{i + 1}") for i in range(n)]).agg(F.count("*").alias("count"))
+    words = [f"w{i + 1}" for i in range(n)]
+    rows = sentences.where(F.size(tokens) > 0).select(F.inline(ngrams(tokens, n)).alias(*words))
+    return rows.groupBy(*words).agg(F.count("*").alias("count"))
 
 
 def backoff(triples: DataFrame, uni: DataFrame, bi: DataFrame, tri: DataFrame, total: Column, alpha: float = ALPHA) -> DataFrame:

@@ -17,7 +17,7 @@ from lexiloom.functions import scalars as S
 from lexiloom.functions.unicode import strip_pitch_marks
 from lexiloom.operators import align, rules
 from lexiloom.profiles import LanguageProfile
-from lexiloom.session import Scratch
+from lexiloom.session import Scratch, spread
 
 # Window sizes and confidence floors.
 K = 2
@@ -218,7 +218,7 @@ def score(cands: DataFrame, queries: DataFrame, lexicon: DataFrame, profile: Lan
     rows = cands.join(lexicon.select("id", "headword", "ipa", "dialect", "tokens", "n_tokens"), "id").join(
         F.broadcast(queries.select("qid", "query", "mode", "shape", "left_tokens", "right_tokens", "q_ipa", "q_tokens", "q_len", "n")), "qid"
     )
-    rows = rows.withColumn("_sw", sw("q_tokens", "tokens"))
+    rows = spread(rows).withColumn("_sw", sw("q_tokens", "tokens"))
     return rows.withColumns({"confidence": align.confidence(F.col("_sw.score"), F.col("q_tokens"), F.col("tokens")), "alignment": F.col("_sw.alignment")}).drop("_sw")
 
 

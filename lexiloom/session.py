@@ -74,3 +74,13 @@ class Scratch:
 def rows_within(df: DataFrame, bound: int) -> bool:
     """Whether ``df`` has at most ``bound`` rows; reads no further than that."""
     return df.limit(bound + 1).count() <= bound
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores, ahead of work whose cost lies in the rows' number, not their bytes.
+
+    Adaptive execution merges small partitions by bytes, which would leave a costly Python
+    stage to one task; an explicit number of partitions is kept.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

@@ -214,3 +214,56 @@ def sentences_from_lines(lines: DataFrame, boundary: str, token: str, file: str
 def without(files: DataFrame, excluded: DataFrame, key: list[str]) -> DataFrame:
     """Files that no exclusion names, by id or by (series, volume)."""
     return files.join(excluded.select(*key).distinct(), key, "left_anti")
+
+
+NOTE = "original string, normalized string, candidate_headwords array<string>, romanization string, kind string, tags array<string>, confidence string, review_status string, citation_ready boolean, reviewed_at string"
+
+
+def orthographic_entries(spark: SparkSession, path: str | Path) -> DataFrame:
+    """Curated correspondence entries; a missing romanization is transliterated, missing headwords are the normalized form."""
+    from lexiloom.functions.scalars import transliterate
+    from lexiloom.functions.unicode import nfc
+
+    names = [c.split()[0] for c in NOTE.split(", ")]
+    rows = []
+    for i, e in enumerate(listed(path, "entries")):
+        for k in ("original", "normalized", "kind"):
+            if not isinstance(e.get(k), str) or not e[k].strip():
+                raise ValueError(f"{path}: entry {i} has no {k}")
+        at = e.get("reviewed_at")
+        rows.append(tuple(str(at) if n == "reviewed_at" and at is not None else e.get(n) for n in names))
+    df = spark.createDataFrame(rows, NOTE)
+    roman = F.coalesce(F.nullif(F.trim("romanization"), F.lit("")), transliterate("normalized"))
+    return df.withColumns(
+        {
+            "original": nfc("original"), "normalized": nfc("normalized"), "romanization": roman, "reviewed_at": F.to_timestamp("reviewed_at"),
+            "candidate_headwords": F.coalesce("candidate_headwords", F.array("normalized")),
+        }
+    )
+
+
+def key_sets(path: str | Path) -> dict[str, frozenset[str]]:
+    """Named sets of headwords, as the part-of-speech overrides."""
+    return {k: frozenset(v) for k, v in _yaml(path).items() if isinstance(v, list)}
+
+
+def sqlite_table(spark: SparkSession, path: str, table: str, schema: str, slices: int = 32) -> DataFrame:
+    """A SQLite table, read in rowid slices by as many tasks; the file must lie in a folder all executors share."""
+    if not re.fullmatch(r"\w+", table):
+        raise ValueError(f"{table!r} is no table name")
+    names = [c.split()[0] for c in schema.split(",")]
+
+    def read(batches):
+        import sqlite3
+
+        import pandas as pd
+
+        con = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+        low, high = con.execute(f"select coalesce(min(rowid), 0), coalesce(max(rowid), -1) from {table}").fetchone()
+        width = -(-(high - low + 1) // slices) or 1
+        for b in batches:
+            for s in b["id"]:
+                sql = f"select {', '.join(names)} from {table} where rowid >= ? and rowid < ?"
+                yield from pd.read_sql_query(sql, con, params=(int(low + s * width), int(low + (s + 1) * width)), chunksize=50_000)
+
+    return spark.range(0, slices, 1, slices).mapInPandas(read, schema)
