@@ -183,11 +183,15 @@ def transliterate(greek: Column | str) -> Column:
     return F.array_join(F.transform(tokens, one), "")
 
 
+#: A capital marker that no Beta Code letter follows.
+DANGLING = r"\*(?![)(/\\=+|]*[a-ik-zA-IK-Z])"
+
+
 def beta_to_unicode(text: Column | str) -> Column:
     """Beta Code to composed Greek: capitals after ``*``, marks after letters, final sigma; a dangling ``*`` raises."""
     marks = r")(/\\=+|"
     s = _col(text)
-    dangling = s.rlike(rf"\*(?![{marks}]*[a-ik-zA-IK-Z])")
+    dangling = s.rlike(DANGLING)
     s = F.regexp_replace(s, rf"\*([{marks}]*)([a-ik-zA-IK-Z])", "\x01$2$1")
     latin, greek = BETA_LETTERS
     s = F.translate(s, latin + latin.upper(), greek * 2)
@@ -322,7 +326,8 @@ def log_digest(text: Column | str) -> Column:
 
 # --- queries --------------------------------------------------------------------
 
-_MARK = "[" + re.escape(WILDCARDS) + "]"
+#: Pattern of a wildcard marker.
+MARKER = _MARK = "[" + re.escape(WILDCARDS) + "]"
 
 
 def query_mode(query: Column | str) -> Column:

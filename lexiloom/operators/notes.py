@@ -35,9 +35,8 @@ def orthographic_notes(hits: DataFrame, entries: DataFrame, lang: str = "en") ->
     extra = F.array_join(F.array_compact(F.transform("tags", lambda t: F.try_element_at(_by_kind(TAG_TEXTS, lang), t))), " ")
     said = entries.withColumns({"_q": nfc("original"), "message": F.trim(F.concat_ws(" ", message, extra))})
     notes = said.select("_q", F.explode("candidate_headwords").alias("_h"), F.struct("kind", "message", "confidence").alias("note")).distinct()
-    keyed = hits.withColumns({"_hit": F.monotonically_increasing_id(), "_q": nfc("query")})
-    lists = keyed.select("_hit", "_q", F.col("headword").alias("_h")).join(notes, ["_q", "_h"]).groupBy("_hit").agg(F.array_sort(F.collect_list("note")).alias("notes"))
-    joined = keyed.join(lists, "_hit", "left").drop("_hit", "_q")
+    lists = notes.groupBy("_q", "_h").agg(F.array_sort(F.collect_list("note")).alias("notes"))
+    joined = hits.withColumns({"_q": nfc("query"), "_h": F.col("headword")}).join(lists, ["_q", "_h"], "left").drop("_q", "_h")
     return joined.withColumn("notes", F.coalesce("notes", F.array().cast(joined.schema["notes"].dataType)))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lexiloom import profiles
 from lexiloom.functions import scalars as S
-from lexiloom.operators import align, catalogue, evaluation, fuzzy, hierarchy, labels, ladder, learn, ngrams, rules
+from lexiloom.operators import align, catalogue, evaluation, fuzzy, hierarchy, labels, ladder, learn, ngrams, ordered, rules
 from lexiloom.plans import search as P
 from lexiloom.plans.data_queries import _LATEST, table
 
@@ -221,9 +221,9 @@ def stupid_backoff(spark, d):
 
 
 def context_lag2(spark, d):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events")
-    return e.select("event_id", *[F.lag("event_type", k, ngrams.BOS).over(w).alias(f"prev{k}") for k in (1, 2)])
+    """The two events before each event of a user; a user's events may fill many partitions."""
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
+    return ordered.lagged(e, "user_id", ["ts", "event_id"], "event_type", 2, ngrams.BOS).select("event_id", "prev1", "prev2")
 
 
 # --- evaluation -----------------------------------------------------------------
@@ -386,6 +386,17 @@ def sw_search(spark, d):
     )
 
 
+def record_search(spark, d):
+    """Spellings of every record whose id is divisible by 20, searched among all word forms: the best headword of each."""
+    rows = table(spark, d, "choice_records").where("record_id % 20 = 0 and trim(original) <> ''").select("record_id", "original")
+    texts = rows.select(F.regexp_replace("original", S.MARKER, " ").alias("query")).where("trim(query) <> ''").distinct()
+    texts = texts.withColumn("qid", F.sha2("query", 256))
+    forms = table(spark, d, "word_forms").select(F.col("form_id").cast("string").alias("id"), F.col("form").alias("headword"), S.to_ipa("form").alias("ipa"), F.lit("attic").alias("dialect"))
+    best = P.search(texts, P.prepare_lexicon(forms, profiles.GREEK), profiles.GREEK, rules.compile_rules(RULES), results=1)
+    best = best.select("query", "headword", F.round("confidence", 6).alias("confidence"), "match_type", "path")
+    return rows.withColumn("query", F.regexp_replace("original", S.MARKER, " ")).join(best, "query", "left").select("record_id", "headword", "confidence", "match_type", "path")
+
+
 # Own small rule set over the spelling alternations of the test data.
 RULES = [
     {"id": "VOW-001", "name_en": "e and ai", "input": "e", "output": "ai", "dialects": ["koine"]},
@@ -438,7 +449,7 @@ QUERIES = {
     "rank_percentiles": rank_percentiles, "discordant_counts": discordant_counts, "facet_three_valued": facet_three_valued, "failure_buckets": failure_buckets,
     "latency_percentiles": latency_percentiles, "ols_fit": ols_fit, "match_type_buckets": match_type_buckets, "hierarchy_rules": hierarchy_rules, "catalog_filter_page": catalog_filter_page,
     "catalog_foreign_keys": catalog_foreign_keys, "left_enrich_array": left_enrich_array, "drop_reasons": drop_reasons,
-    "sw_search": sw_search, "explain_rules": explain_rules, "weighted_edit_distance": weighted_edit_distance, "learned_log_odds": learned_log_odds, "cluster_bootstrap": cluster_bootstrap,
+    "sw_search": sw_search, "record_search": record_search, "explain_rules": explain_rules, "weighted_edit_distance": weighted_edit_distance, "learned_log_odds": learned_log_odds, "cluster_bootstrap": cluster_bootstrap,
     "mcnemar": mcnemar, "form_keys": form_keys, "markup_classes": markup_classes, "alternation_probabilities": alternation_probabilities,
 }
 

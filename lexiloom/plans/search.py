@@ -5,7 +5,8 @@ length, lookup key and distinct k-mers; postings are an explode of the k-mers.
 side: seeds come from an equi-join on k-mers; fallbacks serve only queries without seeds
 (anti-joins); the quadratic alignment runs on the candidate window, the rule engine
 on the ranked rest.  Per-query caps are ``row_number`` filters, so Spark limits
-each group before it shuffles.
+each group before it shuffles.  Query tables are never forced to be broadcast: they are
+written first, so the planner knows their size.
 """
 
 from __future__ import annotations
@@ -144,7 +145,7 @@ def proximity(queries: DataFrame, lexicon: DataFrame, cap: int = FALLBACK) -> Da
     order = Window.partitionBy("qid").orderBy(F.abs(F.col("n_tokens") - F.col("q_len")))
     band = band.withColumn("_seen", F.sum("have").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum("have").over(order.rangeBetween(0, 0)))
     band = band.where(F.col("_seen") < cap).select("qid", "q_len", "q_ipa", "n_tokens")
-    rows = lexicon.select("id", "n_tokens", "ipa").join(F.broadcast(band), "n_tokens")
+    rows = lexicon.select("id", "n_tokens", "ipa").join(band, "n_tokens")
     pos = F.row_number().over(Window.partitionBy("qid").orderBy(F.abs(F.col("n_tokens") - F.col("q_len")), F.col("ipa") != F.col("q_ipa"), "id"))
     return rows.withColumn("pos", pos).where(F.col("pos") <= cap).select("qid", "id", "pos")
 
@@ -152,7 +153,7 @@ def proximity(queries: DataFrame, lexicon: DataFrame, cap: int = FALLBACK) -> Da
 def _preselect(queries: DataFrame, pool: DataFrame, lexicon: DataFrame, window: Column) -> DataFrame:
     """Wildcard preselection: full matches, then overlaps, then the rest, each in pool order, into ``window``."""
     q = queries.select("qid", "shape", "left_tokens", "right_tokens", window.alias("_window"))
-    m = pool.join(F.broadcast(q), "qid").join(lexicon.select("id", "tokens"), "id", "left")
+    m = pool.join(q, "qid").join(lexicon.select("id", "tokens"), "id", "left")
     m = m.withColumn("_m", S.wildcard_match(F.col("shape"), F.col("left_tokens"), F.col("right_tokens"), F.coalesce("tokens", F.array().cast("array<string>"))))
     bucket = F.when(F.col("_m.full"), 0).when(F.col("_m.overlap") > 0, 1).otherwise(2)
     grade = F.when(bucket == 1, F.struct((-F.col("_m.frag")).alias("a"), (-F.col("_m.overlap")).alias("b"))).otherwise(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
@@ -172,12 +173,12 @@ def candidates(queries: DataFrame, lexicon: DataFrame, scratch: Scratch | None =
 
     # seeded, no wildcard: top seeds, exact keys first where missing, wider by near lengths for full forms
     limit = whole.select("qid", "mode", "q_len", seed_limit(F.col("n")).alias("_l"))
-    ranked = found.join(F.broadcast(limit), "qid")
+    ranked = found.join(limit, "qid")
     top = ranked.where("pos <= _l").select("qid", "id", "pos")
     exact = exact_matches(whole, lexicon).join(has_seed, "qid", "left_semi")
     added = exact.join(top.select("qid", "id"), ["qid", "id"], "left_anti")
     added = added.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("id")))
-    seeded = merge_candidates(added, top).join(F.broadcast(limit.select("qid", "_l")), "qid").where("pos <= _l").select("qid", "id", "pos")
+    seeded = merge_candidates(added, top).join(limit.select("qid", "_l"), "qid").where("pos <= _l").select("qid", "id", "pos")
     rest = ranked.where("mode = 'Full-form'").join(exact.select("qid").distinct(), "qid", "left_anti").where("pos > _l")
     rest = rest.join(lexicon.select("id", "n_tokens"), "id").select("qid", "id", F.abs(F.col("n_tokens") - F.col("q_len")).alias("delta"), F.col("pos").alias("seed_pos"), "_l")
     wide = near_length(rest).where(F.col("turn") <= F.col("_l")).select("qid", "id", (F.col("_l") + F.col("turn")).alias("pos"))
@@ -186,13 +187,13 @@ def candidates(queries: DataFrame, lexicon: DataFrame, scratch: Scratch | None =
     # seeded wildcard queries: seeds, then single-phone seeds, preselected by fragment matches
     found1 = seeds(queries, index1, "q_unigrams")
     pool = merge_candidates(found.join(partial.select("qid"), "qid", "left_semi"), found1.join(partial.select("qid"), "qid", "left_semi").join(has_seed, "qid", "left_semi"))
-    pool = pool.join(F.broadcast(partial.select("qid", annotation_limit(F.col("n")).alias("_l"))), "qid").where("pos <= _l").select("qid", "id", "pos")
+    pool = pool.join(partial.select("qid", annotation_limit(F.col("n")).alias("_l")), "qid").where("pos <= _l").select("qid", "id", "pos")
     seeded_partial = _preselect(partial, pool, lexicon, F.greatest(seed_limit(F.col("n")), F.lit(PARTIAL_WINDOW))).withColumn("path", F.lit("seeded_partial"))
 
     # without seeds: single-phone seeds by proximity
     bare = queries.join(has_seed, "qid", "left_anti")
     uni = found1.join(has_seed, "qid", "left_anti")
-    hit = uni.join(lexicon.select("id", "n_tokens", "ipa"), "id").join(F.broadcast(queries.select("qid", "q_len", "q_ipa")), "qid")
+    hit = uni.join(lexicon.select("id", "n_tokens", "ipa"), "id").join(queries.select("qid", "q_len", "q_ipa"), "qid")
     pos = F.row_number().over(Window.partitionBy("qid").orderBy(F.abs(F.col("n_tokens") - F.col("q_len")), F.col("ipa") != F.col("q_ipa"), "id"))
     uni = hit.select("qid", "id", pos.alias("pos")).where(F.col("pos") <= FALLBACK)
     has_uni = uni.select("qid").distinct()
@@ -216,7 +217,7 @@ def score(cands: DataFrame, queries: DataFrame, lexicon: DataFrame, profile: Lan
     """Candidates with lemma fields, alignment and confidence; ids the lexicon lacks are left out."""
     sw = align.local_alignment_udf(profile.matrix, list(profile.inventory))
     rows = cands.join(lexicon.select("id", "headword", "ipa", "dialect", "tokens", "n_tokens"), "id").join(
-        F.broadcast(queries.select("qid", "query", "mode", "shape", "left_tokens", "right_tokens", "q_ipa", "q_tokens", "q_len", "n")), "qid"
+        queries.select("qid", "query", "mode", "shape", "left_tokens", "right_tokens", "q_ipa", "q_tokens", "q_len", "n"), "qid"
     )
     rows = spread(rows).withColumn("_sw", sw("q_tokens", "tokens"))
     return rows.withColumns({"confidence": align.confidence(F.col("_sw.score"), F.col("q_tokens"), F.col("tokens")), "alignment": F.col("_sw.alignment")}).drop("_sw")
@@ -306,8 +307,7 @@ def bucket(kind: Column, mode: Column, unsure: Column) -> Column:
 def search(queries: DataFrame, lexicon: DataFrame, profile: LanguageProfile, ruleset: rules.RuleSet | None = None, results: int = 5, dialect: str = "attic") -> DataFrame:
     """Rank the headwords that could have given each query (qid, query), and explain them.
 
-    ``lexicon`` comes from ``prepare_lexicon``.  The query table is expected to be small
-    beside the lexicon; split a very large one into blocks.
+    ``lexicon`` comes from ``prepare_lexicon``.
     """
     if results <= 0:
         raise ValueError("results must be positive")

@@ -1,4 +1,4 @@
-"""XML corpora: spelling choices, treebank words, running text, dictionary entries.
+"""XML corpora: spelling choices, treebank words, running text, flagged pairs.
 
 Files are read whole (``binaryFile``) and parsed per Arrow batch with the standard library's
 parser; documents that declare entities are refused.  A file that does not parse gives one
@@ -172,38 +172,42 @@ def running_text(df: DataFrame) -> DataFrame:
     return _rows(df, LINE, _running)
 
 
-ENTRY = "source_file string, n int, id string, headword string, gloss string, pos string, gender string, dialect string"
-# Abbreviations that name a part of speech, and genders by article.
-POS_WORDS = (("Adv.", "adverb"), ("Prep.", "preposition"), ("Conj.", "conjunction"), ("Interj.", "interjection"), ("Particle", "particle"), ("Pron.", "pronoun"), ("Adj.", "adjective"), ("Subst.", "noun"))
-GENDERS = {"ὁ": "masculine", "ἡ": "feminine", "τό": "neuter"}
-GLOSS_LENGTH = 200
+PAIR = "source_file string, doc string, n int, form string, reg string, flags array<string>"
+#: Markup inside a pair that makes it less certain.
+FLAGS = frozenset({"gap", "supplied", "ex", "expan", "unclear", "surplus", "num", "abbr"})
 
 
-def _entries(path: str, root: ET.Element) -> Iterator[tuple]:
+def _flagged(path: str, root: ET.Element) -> Iterator[tuple]:
+    doc = document_id(root, path)
     n = 0
-    for e in root.iter():
-        if _tag(e) != "entryFree":
+    for c in root.iter():
+        if _tag(c) != "choice":
             continue
-        ident = re.search(r"\d+", e.get("id") or "")
-        by = lambda name, e=e: [x for x in e.iter() if _tag(x) == name]
-        orth = ["".join(x.itertext()).strip() for x in by("orth")]
-        head = (orth[0] if orth else "") or (e.get("key") or "").strip()
-        gloss = next((t for s in by("sense") for t in ["".join(x.itertext()).strip() for x in s.iter() if _tag(x) in ("tr", "gloss")] if t), "")
-        words = "".join(e.itertext())[:600]
-        gender = next((GENDERS[t] for t in ("".join(x.itertext()).strip() for x in by("gen")) if t in GENDERS), None)
-        pos = next(("".join(x.itertext()).strip() for x in by("pos")), None)
-        named = next((p for w, p in POS_WORDS if w in (pos or words)), None)
-        itype = bool(by("itype"))
-        kind = named or ("noun" if gender else "adverb" if head.endswith("ως") else "adjective" if itype else "verb" if head.endswith(("ω", "μι", "μαι")) else None)
-        if ident and head and gloss and kind:
-            yield path, n, f"LSJ-{int(ident.group(0)):05d}", head, gloss[:GLOSS_LENGTH], kind, gender, "attic"
-            n += 1
-
-
-def dictionary(df: DataFrame) -> DataFrame:
-    """Main entries with headword, gloss and part of speech; of one id the first holds."""
-    from pyspark.sql import Window
-
-    rows = _rows(df, ENTRY, _entries)
-    rn = F.row_number().over(Window.partitionBy("id").orderBy("source_file", "n"))
-    return rows.withColumn("_rn", rn).where("_rn = 1").drop("_rn", "n")
+        by = {_tag(x): x for x in reversed(list(c))}  # the first of each kind
+        for a, b in (("orig", "reg"), ("sic", "corr")):
+            if a in by and b in by:
+                form, reg = ("".join(by[x].itertext()).strip() for x in (a, b))
+                flags = {_tag(x) for side in (a, b) for x in by[side].iter()} & FLAGS
+                yield path, doc, n, form, reg, sorted(flags | ({"corr"} if a == "sic" else set()))
+                n += 1
+
+
+def flagged_pairs(df: DataFrame) -> DataFrame:
+    """Spelling and correction pairs with the markup found inside them."""
+    return _rows(df, PAIR, _flagged)
+
+
+def pair_drop_reasons(pairs: DataFrame, include_corrections: bool = False, strict: bool = True) -> DataFrame:
+    """``pairs`` with ``reasons``: every reason to leave a pair out; empty means keep."""
+    from lexiloom.operators.catalogue import drop_reasons
+
+    greek, has = r"^[Ͱ-Ͽἀ-῿̀-ͯʼ’']+$", lambda *fs: F.arrays_overlap("flags", F.array(*[F.lit(f) for f in fs]))
+    tests = {
+        "empty": (F.trim("form") == "") | (F.trim("reg") == ""), "same": nfc("form") == nfc("reg"), "not_one_word": F.col("form").rlike(r"\s") | F.col("reg").rlike(r"\s"),
+        "not_greek": ~F.col("form").rlike(greek) | ~F.col("reg").rlike(greek), "lost_text": has("gap"), "abbreviated": has("ex", "expan", "abbr"),
+    }
+    if not include_corrections:
+        tests["correction"] = has("corr")
+    if strict:
+        tests["uncertain"] = has("supplied", "unclear", "surplus")
+    return pairs.withColumn("reasons", drop_reasons(**tests))

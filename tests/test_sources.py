@@ -45,12 +45,29 @@ def test_treebank(spark, tmp_path):
     assert got == [("doc1", "1", "λόγος", "clean"), ("doc1", "2", "λόγος", "variant_ortho")]
 
 
+ENTRIES = """<d>
+<entryFree id="n7" key="lo/gos" type="main"><orth extent="full" lang="greek">lo/gos</orth>, <gen lang="greek">o(</gen>, <sense><tr>word</tr>, <tr>reason</tr></sense><sense><tr>other</tr></sense></entryFree>
+<entryFree id="n7" key="a)/llo"><gen>o(</gen><sense><tr>again</tr></sense></entryFree>
+<entryFree id="n8" key="a)/llo"><orth lang="greek">a)/llo</orth></entryFree>
+<entryFree id="n9" key="kalo/s2"><orth lang="greek">kalo/s</orth>, <itype>h/</itype>, <itype>o/n</itype>, <sense><tr>fair</tr></sense></entryFree>
+<entryFree id="n10" key="lu/w"><orth lang="greek">lu/w</orth><sense><tns>fut.</tns> <tr>loose</tr></sense></entryFree>
+<entryFree id="n11" key="kalw=s"><orth lang="greek">kalw=s</orth><sense><tr>well</tr></sense></entryFree>
+<entryFree id="n12" key="ai)/"><orth lang="greek">ai)/</orth>, Dor. Conj., <sense><tr>if</tr></sense></entryFree>
+<entryFree id="n13" key="ei)"><orth lang="greek">ei)</orth>, <sense>Conj., <tr>if</tr></sense></entryFree>
+<entryFree id="n14" key="*)" type="main"><orth lang="greek">o(/s</orth>, <pos>Pron.</pos> <sense><tr>who</tr></sense></entryFree>
+<entryFree id="n15" key="trei=s"><orth lang="greek">trei=s</orth><sense><tr>%s</tr></sense></entryFree>
+<entryFree id="x16" key="a"><gen>o(</gen><sense><tr>x</tr></sense></entryFree><entryFree id="n17" type="gloss" key="a)bc"><gen>o(</gen><sense><tr>x</tr></sense></entryFree></d>""" % ("three " * 60)
+
+
 def test_dictionary(spark, tmp_path):
-    (tmp_path / "d.xml").write_text(
-        '<d><entryFree id="n7" key="lo/gos"><orth>λόγος</orth>, <gen>ὁ</gen>, <sense><tr>word</tr></sense></entryFree>'
-        '<entryFree id="n7"><orth>again</orth><gen>ὁ</gen><sense><tr>x</tr></sense></entryFree><entryFree id="n8"><orth>ἄλλο</orth></entryFree></d>'
-    )
-    assert [(r["id"], r["headword"], r["pos"], r["gender"], r["gloss"]) for r in X.dictionary(X.files(spark, str(tmp_path))).collect()] == [("LSJ-00007", "λόγος", "noun", "masculine", "word")]
+    from lexiloom.sources import dictionary
+
+    (tmp_path / "d.xml").write_text(ENTRIES)
+    got = {r["id"][-2:]: r for r in dictionary.entries(X.files(spark, str(tmp_path)), numerals=["trei=s"], common=[]).collect()}
+    want = {"07": ("λόγος", "noun", "masculine"), "09": ("καλός", "adjective", "common"), "10": ("λύω", "verb", None), "11": ("καλῶς", "adverb", None), "13": ("εἰ", "conjunction", None), "14": ("ὅς", "pronoun", "common"), "15": ("τρεῖς", "numeral", "common")}
+    assert {k: (r["headword"], r["pos"], r["gender"]) for k, r in got.items()} == want
+    assert got["07"]["gloss"] == "word, reason" and got["07"]["id"] == "LSJ-000007" and got["07"]["ipa"] == "lóɡos"
+    assert len(got["15"]["gloss"]) <= 200 and got["15"]["gloss"].endswith("...")
 
 
 def test_documents(spark, tmp_path):
@@ -103,3 +120,15 @@ def test_sinks(spark, tmp_path):
     mixed = spark.createDataFrame([("noun", "attic"), ("verb", "doric")], "pos string, dialect string")
     with pytest.raises(Exception):
         sinks.lexicon_summary(mixed).collect()
+
+
+def test_flagged_pairs(spark, tmp_path):
+    (tmp_path / "7.xml").write_text(
+        "<TEI><choice><reg>λόγος</reg><orig>λώ<supplied>γ</supplied>ος</orig></choice><choice><sic>α</sic><corr>ε</corr></choice>"
+        "<choice><orig>a b</orig><reg>ab</reg></choice><choice><orig>ὁ</orig><reg>ὁ</reg></choice></TEI>"
+    )
+    pairs = X.flagged_pairs(X.files(spark, str(tmp_path)))
+    got = {r["form"]: list(r["reasons"]) for r in X.pair_drop_reasons(pairs).collect()}
+    assert got == {"λώγος": ["uncertain"], "α": ["correction"], "a b": ["not_one_word", "not_greek"], "ὁ": ["same"]}
+    kept = X.pair_drop_reasons(pairs, include_corrections=True, strict=False).where("size(reasons) = 0")
+    assert sorted(r["form"] for r in kept.collect()) == ["α", "λώγος"]
