@@ -378,43 +378,57 @@ def fragment_matches(fragment: Column | str, tokens: Column | str) -> Column:
     return F.filter(at, lambda m: m["overlap"] > 0)
 
 
+def _bind(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _edges(matches: Column, fragment: Column, left: bool) -> Column:
+    """Per overlap the earliest end (left fragment) or latest start (right one): all that ordering needs."""
+
+    def best(v: Column) -> Column:
+        same = F.filter(matches, lambda m: m["overlap"] == v)
+        place = F.array_min(F.transform(same, lambda m: m["start"] + m["overlap"])) if left else F.array_max(F.transform(same, lambda m: m["start"]))
+        return F.struct(v.alias("overlap"), place.alias("place"))
+
+    sizes = F.when(F.size(fragment) > 0, F.sequence(F.lit(1), F.greatest(F.size(fragment), F.lit(1)))).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.filter(F.transform(sizes, best), lambda x: x["place"].isNotNull())
+
+
 def wildcard_match(shape: Column, left: Column, right: Column, tokens: Column) -> Column:
-    """STRUCT<full, frag, overlap>: edges for prefix and suffix, the best ordered pair for infix."""
+    """STRUCT<full, frag, overlap>: edges for prefix and suffix, the best ordered pair for infix.
+
+    Work is linear in the tokens: of equal overlaps only the outermost place counts.
+    """
 
     def info(full: Column, frag: Column, overlap: Column) -> Column:
         return F.struct(full.alias("full"), frag.cast("int").alias("frag"), overlap.cast("int").alias("overlap"))
 
-    pre, suf = leading_overlap(left, tokens), trailing_overlap(right, tokens)
-    ls, rs = fragment_matches(left, tokens), fragment_matches(right, tokens)
-    pairs = F.flatten(
-        F.transform(
-            ls,
-            lambda a: F.transform(
-                F.filter(rs, lambda b: b["start"] >= a["start"] + a["overlap"]),
-                lambda b: F.struct(
-                    ((a["overlap"] == F.size(left)) & (b["overlap"] == F.size(right))).alias("full"),
-                    F.lit(2).alias("frag"),
-                    (a["overlap"] + b["overlap"]).cast("int").alias("overlap"),
-                ),
-            ),
-        )
-    )
     none = info(F.lit(False), F.lit(0), F.lit(0))
 
-    def single(ms: Column) -> Column:
-        return info(F.lit(False), F.lit(1), F.array_max(F.transform(ms, lambda m: m["overlap"])))
+    def single(edges: Column) -> Column:
+        return info(F.lit(False), F.lit(1), F.array_max(F.transform(edges, lambda m: m["overlap"])))
+
+    def ordered(x: Column) -> Column:
+        ls, rs = x["ls"], x["rs"]
 
-    infix = (
-        F.when(F.size(pairs) > 0, F.array_max(pairs))
-        .when((F.size(ls) > 0) & (F.size(rs) > 0), none)
-        .when(F.size(ls) > 0, single(ls))
-        .when(F.size(rs) > 0, single(rs))
-        .otherwise(none)
+        def pair(a: Column, b: Column) -> Column:
+            return info((a["overlap"] == F.size(left)) & (b["overlap"] == F.size(right)), F.lit(2), a["overlap"] + b["overlap"])
+
+        pairs = F.flatten(F.transform(ls, lambda a: F.transform(F.filter(rs, lambda b: b["place"] >= a["place"]), lambda b: pair(a, b))))
+        return (
+            F.when((F.size(ls) > 0) & (F.size(rs) > 0), F.coalesce(F.array_max(pairs), none))
+            .when(F.size(ls) > 0, single(ls)).when(F.size(rs) > 0, single(rs)).otherwise(none)
+        )
+
+    edges = F.struct(
+        _bind(fragment_matches(left, tokens), lambda m: _edges(m, left, True)).alias("ls"), _bind(fragment_matches(right, tokens), lambda m: _edges(m, right, False)).alias("rs")
     )
+    pre, suf = leading_overlap(left, tokens), trailing_overlap(right, tokens)
     return (
         F.when(shape == "prefix", info((pre == F.size(left)) & (F.size(left) > 0), (pre > 0).cast("int"), pre))
         .when(shape == "suffix", info((suf == F.size(right)) & (F.size(right) > 0), (suf > 0).cast("int"), suf))
-        .otherwise(infix)
+        .otherwise(_bind(edges, ordered))
     )
 
 

@@ -64,8 +64,12 @@ def caseless(c: Column | str) -> Column:
 
 
 def letters_digits_key(c: Column | str) -> Column:
-    """What is left when only letters with their marks and digits are kept and case is ignored."""
-    return _safely(c, lambda x: F.regexp_replace(_decompose(_fold(_decompose(x))), r"[^\p{L}\p{M}\p{N}]+", ""))
+    """What is left, decomposed, when only letters with their marks and digits are kept and case is ignored.
+
+    Letters are compared one by one: final sigma is sigma, but an iota below a letter is not one
+    beside it, and sharp s is not ss, as full case folding would have it.
+    """
+    return _safely(c, lambda x: F.regexp_replace(F.translate(F.lower(_decompose(x)), "ς", "σ"), r"[^\p{L}\p{M}\p{N}]+", ""))
 
 
 def strip_marks(c: Column | str) -> Column:

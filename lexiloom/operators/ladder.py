@@ -10,12 +10,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexiloom.operators import fuzzy
+from lexiloom.session import Scratch
 
 BLIND_KEYS = 300
 
 
 def generators(queries: DataFrame, lexicon: DataFrame, collapse, d: int = 2) -> dict[str, DataFrame]:
-    """Per generator (query, word, cost, freq); ``queries`` has query, ``lexicon`` word and freq."""
+    """Per generator (query, word, cost, freq); ``queries`` has query, ``lexicon`` word and freq.
+
+    Both are written once, as every generator reads them.
+    """
+    scratch = Scratch(queries.sparkSession, "ladder")
+    queries, lexicon = scratch.write(queries.select("query"), "queries"), scratch.write(lexicon.select("word", "freq"), "lexicon")
     freq = lexicon.select("word", "freq")
     exact = queries.join(freq, F.col("query") == F.col("word")).select("query", "word", F.lit(0.0).alias("cost"), "freq")
     rules = fuzzy.key_join(queries, lexicon, "query", "word", collapse).join(freq, "word").select("query", "word", F.lit(1.0).alias("cost"), "freq")

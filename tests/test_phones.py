@@ -64,6 +64,33 @@ def test_wildcard_match(spark):
     assert wild(spark, "infix", list("zz"), list("os"), t) == (False, 1, 2) and wild(spark, "infix", list("at"), list("os"), []) == (False, 0, 0)
 
 
+def test_infix_against_brute_force(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(i, "infix", [rng.choice("ab") for _ in range(rng.randint(1, 3))], [rng.choice("ab") for _ in range(rng.randint(1, 3))], [rng.choice("abc") for _ in range(rng.randint(0, 8))]) for i in range(200)]
+    rows.append((200, "infix", ["a", "b"], ["b"], ["a"] * 5000 + ["b"] * 5000))
+
+    def runs(f, t):
+        out = []
+        for i in range(len(t)):
+            k = 0
+            while k < len(f) and i + k < len(t) and t[i + k] == f[k]:
+                k += 1
+            if k:
+                out.append((i, k))
+        return out
+
+    df = spark.createDataFrame(rows, "i int, s string, l array<string>, r array<string>, t array<string>")
+    got = {r["i"]: tuple(r["m"]) for r in df.select("i", S.wildcard_match(F.col("s"), F.col("l"), F.col("r"), F.col("t")).alias("m")).collect()}
+    assert got[200] == (True, 2, 3)
+    for i, _, l, r, t in rows[:200]:  # noqa: E741
+        a, b = runs(l, t), runs(r, t)
+        pairs = [(x[1] == len(l) and y[1] == len(r), 2, x[1] + y[1]) for x in a for y in b if y[0] >= x[0] + x[1]]
+        want = max(pairs) if pairs else (False, 0, 0) if a and b else (False, 1, max(k for _, k in a or b)) if a or b else (False, 0, 0)
+        assert got[i] == want
+
+
 # --- kernels against brute force --------------------------------------------------
 
 
