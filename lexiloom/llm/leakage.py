@@ -39,8 +39,8 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 def fold(text: str) -> str:
-    """Composed and caseless; may be longer or shorter than the text."""
-    return unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold())
+    """Composed and in lower case, final sigma as sigma; may be longer or shorter than the text."""
+    return unicodedata.normalize("NFC", text).lower().replace("ς", "σ")
 
 
 def words_of(text: str) -> list[str]:
