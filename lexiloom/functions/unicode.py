@@ -3,8 +3,7 @@
 Spark has no NFC/NFD function, but it ships ICU4J for its collations; its static
 methods take and give plain strings and are reached through ``java_method``, which
 must not get nulls.  All functions here give null for null and evaluate their
-argument once: a named column is tested for null beside the call, any other
-expression is first bound to a lambda's variable.
+argument once.
 """
 
 from __future__ import annotations
@@ -35,14 +34,17 @@ def _fold(c: Column) -> Column:
 
 
 def _safely(c: Column | str, chain: Callable[[Column], Column]) -> Column:
-    """``chain`` over a value that is not null, null otherwise."""
-
-    def guarded(x: Column) -> Column:
-        return F.when(x.isNotNull(), chain(F.coalesce(x, F.lit(""))))
+    """``chain`` over a value that is not null, null otherwise; the value is computed once.
 
+    A named column is cheap to test beside the call.  Any other expression is tagged
+    with a digit, which every chain here leaves in front: 0 stands for null.  The calls
+    stay outside of lambdas, as Spark moves them below aggregates and joins.
+    """
     if isinstance(c, str):
-        return guarded(F.col(c))
-    return F.element_at(F.transform(F.array(c), guarded), 1)
+        return F.when(F.col(c).isNotNull(), chain(F.coalesce(F.col(c), F.lit(""))))
+    tagged = chain(F.coalesce(F.concat(F.lit("1"), c), F.lit("0")))
+    value = F.get(F.filter(F.array(tagged), lambda x: x.startswith("1")), F.lit(0))
+    return F.substring(value, 2, 2**31 - 1)
 
 
 def nfc(c: Column | str) -> Column:
