@@ -52,17 +52,17 @@ def latest_rows(df: DataFrame, id_col: str, parent_col: str, order_col: str, tie
 def contract(links: DataFrame, scratch: Scratch) -> dict:
     """Contract the forest of ``links`` (v, p); returns the written parts for ``expand``."""
     known = links.select(F.col("v").alias("_known"))
-    active = scratch.write(
-        links.join(known, F.col("p") == F.col("_known"), "left").select(
-            "v", F.col("_known").alias("p"), F.lit(1).alias("w"), F.expr("cast(array() as array<string>)").alias("via")
-        ),
-        "active0",
+    more = "kept and p is not null and p <> v"
+    start = links.join(known, F.col("p") == F.col("_known"), "left").select(
+        "v", F.col("_known").alias("p"), F.lit(1).alias("w"), F.expr("cast(array() as array<string>)").alias("via"), F.lit(True).alias("kept")
     )
+    out, left = scratch.write_counted(start, "active0", more)
+    active = out.drop("kept")
     records: list[str] = []
-    while active.where("p is not null and p <> v").limit(1).count():
+    while left:
         for step in (_rake, _compress):
             records.append(f"round{len(records) + 1}")
-            out = scratch.write(step(active, len(records)), records[-1])
+            out, left = scratch.write_counted(step(active, len(records)), records[-1], more)
             active = out.where("kept").select("v", "p", "w", "via")
     return {"core": active, "records": records}
 

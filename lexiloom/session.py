@@ -11,7 +11,9 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def get_session(app: str = "lexiloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -48,16 +50,25 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.schemas: dict[str, StructType] = {}
         atexit.register(self.close)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as ``name`` and return it read back, without its lineage."""
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
+        self.schemas[name] = df.schema
+        return self.read([name])
+
+    def write_counted(self, df: DataFrame, name: str, condition: Column | str) -> tuple[DataFrame, int]:
+        """As ``write``, with the number of rows that meet the condition, counted on the way."""
+        seen = Observation()
+        met = F.expr(condition) if isinstance(condition, str) else condition
+        out = self.write(df.observe(seen, F.count(F.when(met, 1)).alias("n")), name)
+        return out, seen.get["n"]
 
     def read(self, names: list[str]) -> DataFrame:
-        return self.spark.read.parquet(*[f"{self.root}/{n}" for n in names])
+        """Tables of one schema, read together; their footers are not inspected for it."""
+        return self.spark.read.schema(self.schemas[names[0]]).parquet(*[f"{self.root}/{n}" for n in names])
 
     def drop(self, name: str = "") -> None:
         sc = self.spark.sparkContext
