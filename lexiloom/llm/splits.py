@@ -63,8 +63,8 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     files = scratch.write(files, "files")
     ties = scratch.write(ties.join(files, "f").select("id", "e"), "numbered")
     name, turn = "labels0", 0
-    labels = scratch.write(files.select("id", F.col("id").alias("label"), F.lit(True).alias("moved")), name)
-    while labels.where("moved").limit(1).count():
+    labels, moved = scratch.write_counted(files.select("id", F.col("id").alias("label"), F.lit(True).alias("moved")), name, "moved")
+    while moved:
         turn += 1
         up = ties.join(labels.select("id", "label"), "id").groupBy("e").agg(F.min("label").alias("label"))
         down = ties.join(up, "e").groupBy("id").agg(F.min("label").alias("low"))
@@ -76,7 +76,7 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             .join(jump, F.col("low") == F.col("_j"))
             .select("id", F.least("old", "low", "far").alias("label"), (F.least("old", "low", "far") < F.col("old")).alias("moved"))
         )
-        labels = scratch.write(new, f"labels{turn}")
+        labels, moved = scratch.write_counted(new, f"labels{turn}", "moved")
         scratch.drop(name)
         name = f"labels{turn}"
     return files.join(labels.select("id", "label"), "id").select("f", "label")
