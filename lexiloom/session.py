@@ -53,9 +53,10 @@ class Scratch:
         self.schemas: dict[str, StructType] = {}
         atexit.register(self.close)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as ``name`` and return it read back, without its lineage."""
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
+    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """Write ``df`` as ``name``, in folders ``by`` a column if given, and return it read back, without its lineage."""
+        out = df.write.mode("overwrite").option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(f"{self.root}/{name}")
         self.schemas[name] = df.schema
         return self.read([name])
 
