@@ -6,10 +6,11 @@ hashes seen again; per filter segment the partitions' parts are merged, where wh
 partitions both have seen becomes *seen again*.  Only records whose hash may have been
 seen again are shuffled, by their full key, for exact grouping; all others are singletons.
 
-The filter takes ``BITS_PER_RECORD`` bits per record up to ``MAX_FILTER_BITS``, which
-bounds the broadcast; beyond that more singletons are shuffled needlessly, the result
-stays exact.  Groups above a bounded threshold are joined map-side, so no hot group is
-one task's.
+A filter takes ``BITS_PER_RECORD`` bits per record and at most ``MAX_FILTER_BITS``, which
+bounds the broadcast.  More records are cut into slices of the hash space when they are
+written, without a shuffle, and the slices are filtered one after the other, each with a
+broadcast of its own that is dropped again.  Groups above a bounded threshold are joined
+map-side, so no hot group is one task's.
 
 Defined results: null differs from every text; in one key field, texts that hold no
 letter or digit agree with each other; exact repeats count as copies.
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,8 +115,8 @@ def merged_again(parts: DataFrame) -> DataFrame:
     return parts.groupBy("segment").applyInArrow(merge, "segment int, again binary")
 
 
-def possible_repeats(keyed: DataFrame, column: str, records: int) -> DataFrame:
-    """``keyed`` with ``_maybe``: false only if no other record has the same hash."""
+def possible_repeats(keyed: DataFrame, column: str, records: int) -> tuple[DataFrame, Broadcast]:
+    """``keyed`` with ``_maybe``: false only if no other record has the same hash; and the filter sent for it."""
     bits = filter_bits(records)
     merged = merged_again(partition_filters(keyed, column, bits)).collect()  # at most MAX_FILTER_BITS / 8 bytes
     sent = keyed.sparkSession.sparkContext.broadcast([(r["segment"], bytes(r["again"])) for r in merged])
@@ -133,7 +135,7 @@ def possible_repeats(keyed: DataFrame, column: str, records: int) -> DataFrame:
         seen = (state["map"][p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1
         return pd.Series(seen.all(axis=1))
 
-    return keyed.withColumn("_maybe", maybe(F.col(column)))
+    return keyed.withColumn("_maybe", maybe(F.col(column))), sent
 
 
 def canonical_key(texts: list[str], exact: list[str]):
@@ -150,9 +152,27 @@ class Repeats:
         self.scratch = Scratch(records.sparkSession, "repeats")
         self.carry = carry or []
         rows = records.select(F.col(id_col).alias("_id"), canonical_key(texts, exact).alias("_key"), *self.carry)
-        self.keyed = self.scratch.write(rows.withColumn("_hash", F.xxhash64("_key")), "keyed")
-        self.count = self.keyed.count()
-        self.split = possible_repeats(self.keyed, "_hash", self.count)
+        rows = rows.withColumn("_hash", F.xxhash64("_key"))
+        self.count = records.count()
+        self.slices = max(1, -(-self.count * BITS_PER_RECORD // MAX_FILTER_BITS))
+        self.split = self._one(rows) if self.slices == 1 else self._sliced(rows)
+
+    def _one(self, rows: DataFrame) -> DataFrame:
+        return possible_repeats(self.scratch.write(rows, "keyed"), "_hash", self.count)[0]
+
+    def _sliced(self, rows: DataFrame) -> DataFrame:
+        """Slices are folders of one table, each replaced by its filtered rows in turn."""
+        place = F.pmod(F.xxhash64(F.lit(1), F.col("_hash")), F.lit(self.slices)).cast("int")
+        keyed = self.scratch.write(rows.withColumn("_slice", place), "keyed", by="_slice")
+        names = []
+        for s in range(self.slices):
+            part = keyed.where(F.col("_slice") == s).drop("_slice")
+            marked, sent = possible_repeats(part, "_hash", -(-self.count // self.slices))
+            names.append(f"split{s}")
+            self.scratch.write(marked, names[-1])
+            sent.destroy()
+            self.scratch.drop(f"keyed/_slice={s}")
+        return self.scratch.read(names)
 
     def groups(self) -> DataFrame:
         """(_key, first_id, n) of every key with more than one record."""

@@ -57,11 +57,21 @@ def test_collapsed_counts_everything(spark):
     assert {r["_id"] for r in out if r["n_copies"] > 1} == set(range(40))
 
 
-def test_filter_loses_no_repeat_when_full(spark, monkeypatch):
+def test_slices_of_the_hash_space(spark, monkeypatch):
     monkeypatch.setattr(dedup, "MAX_FILTER_BITS", dedup.MIN_FILTER_BITS)
     rows = [(i, f"w{i % 30_000}", "r", "f", 1) for i in range(60_000)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
-    assert len(pairs(df)) == 30_000
+    found = dedup.Repeats(df, "record_id", ["original", "regularized", "source_file"], ["pair_index"], ["original"])
+    assert found.slices == 4
+    assert {(r[0], r[1]) for r in found.pairs().collect()} == {(i, i + 30_000) for i in range(30_000)}
+    out = found.collapsed()
+    assert out.count() == 30_000 and out.where("n_copies <> 2").count() == 0
+
+
+def test_a_full_filter_loses_no_repeat(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BITS_PER_RECORD", 1)
+    rows = [(i, f"w{i % 200_000}", "r", "f", 1) for i in range(250_000)]
+    assert len(pairs(spark.createDataFrame(rows, SCHEMA).repartition(4))) == 50_000
 
 
 def test_positions_stay_inside():
