@@ -79,10 +79,11 @@ aggregate(
     'level', cast(array(named_struct('path', _field, 'parent', cast(null as string), 'key', _field, 'idx', cast(null as int),
       'kind', left(schema_of_variant(_value), 5), 'value', _value)) as array<{NODE}>)),
   (acc, i) -> named_struct(
-    'found', concat(acc.found, filter(acc.level, n -> n.kind = 'OBJEC')),
+    'found', concat(acc.found, filter(acc.level, n -> {{wanted}})),
     'level', {_CHILDREN}),
   acc -> acc.found)
 """
+_OBJECTS, _SCALARS = (_WALK.replace("{wanted}", w) for w in ("n.kind = 'OBJEC'", "n.kind not in ('OBJEC', 'ARRAY')"))
 
 
 def json_objects(df: DataFrame, keys: list[str], field: str, kind: str | None = None) -> DataFrame:
@@ -93,6 +94,20 @@ def json_objects(df: DataFrame, keys: list[str], field: str, kind: str | None =
     ``ordinal`` (its place in an array, or null) and ``node`` (VARIANT).  ``keys``
     must name the row; other columns of ``df`` are not read.
     """
+    return _nodes(df, keys, field, kind, _OBJECTS)
+
+
+def json_values(df: DataFrame, keys: list[str], field: str) -> DataFrame:
+    """One row per scalar at any depth of ``df[field]``, JSON nulls included, with its ``value`` as text.
+
+    Columns as for ``json_objects``; ``parent_path`` is the object that holds the value or
+    the array it stands in, so a plain item is a child like an object in its place.
+    """
+    rows = _nodes(df, keys, field, None, _SCALARS)
+    return rows.withColumn("value", F.try_variant_get("node", "$", "string")).drop("node")
+
+
+def _nodes(df: DataFrame, keys: list[str], field: str, kind: str | None, walk: str) -> DataFrame:
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     ids = [f"_k{i}" for i in range(len(keys))]
     nodes = F.col("_nodes")
@@ -106,7 +121,7 @@ def json_objects(df: DataFrame, keys: list[str], field: str, kind: str | None =
         .where(F.col("_depth") >= 1)
         .withColumns({"_value": F.try_parse_json("_text"), "_field": F.lit(field)})
         .where(F.col("_value").isNotNull())
-        .select(*ids, F.expr(_WALK).alias("_nodes"))
+        .select(*ids, F.expr(walk).alias("_nodes"))
         .select(*ids, F.inline(nodes))
         .select(
             *[F.col(i).alias(k) for i, k in zip(ids, keys, strict=True)],

@@ -18,16 +18,26 @@ KINDS = {
     "sources": (("variants",), {"siglum": "string"}),
     "lines": (("variants",), {"first": "string", "last": "string"}),
     "hand": (("variants",), {"period": "string"}),
+    "scribe": (("variants",), {}),
     "steps": (("transformation",), {"from": "string", "to": "string"}),
     "context": (("transformation",), {"before": "string"}),
+    "after": (("transformation",), {"class": "string"}),
     "see": (("buck_ref",), {"section": "string", "page": "string"}),
     "note": (("buck_ref",), {"text": "string"}),
+    "by": (("buck_ref",), {"editor": "string"}),
 }
 TOP = {
     "variants": {"form": "string"},
     "transformation": {"from": "string", "to": "string"},
     "buck_ref": {"section": "string", "page": "string"},
 }
+#: What every node's row says of its place.
+PLACE = ("field_name", "node_path", "parent_path", "kind", "ordinal")
+
+
+def _kinds_of(field: str) -> list[str]:
+    """The kinds of one field that have flat tables."""
+    return [field, *[k for k, (fields, _) in KINDS.items() if field in fields]]
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -56,6 +66,24 @@ def p2_flat(kind: str):
     return query
 
 
+def p2_values(spark: SparkSession, d: str) -> DataFrame:
+    """Every scalar of the fields as a child row of its object: plain array items, plain values where others hold objects, all else."""
+    parts = [
+        nested.json_values(table(spark, d, t), [k], f).select(F.lit(t).alias("table_name"), F.col(k).alias("row_id"), *PLACE, "value")
+        for t, k, f in FIELDS
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p2_other(spark: SparkSession, d: str) -> DataFrame:
+    """Objects of kinds without a flat table of their own, so that none is dropped; ``p2_values`` has their values."""
+    parts = [
+        nested.json_objects(table(spark, d, t), [k], f).where(~F.col("kind").isin(_kinds_of(f))).select(F.lit(t).alias("table_name"), F.col(k).alias("row_id"), *PLACE)
+        for t, k, f in FIELDS
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 def _dialects(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     return hierarchy.hierarchy(table(spark, d, "buck_dialects"))
 
@@ -79,6 +107,8 @@ def p4_cycles(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found,
     **{f"p2_{k}": p2_flat(k) for k in (*TOP, *KINDS)},
+    "p2_values": p2_values,
+    "p2_other": p2_other,
     "p4_found": p4_found,
     "p4_hierarchy": p4_hierarchy,
     "p4_cycles": p4_cycles,
@@ -88,7 +118,7 @@ QUERIES = {
 _UNWRAP = """case when json_valid({x}) and json_type({x}) = 'VARCHAR' then json_extract_string({x}, '$') else {x} end"""
 
 
-def _walk_sql(t: str, k: str, f: str) -> str:
+def _walk_sql(t: str, k: str, f: str, wanted: str = "json_type(v) = 'OBJECT'") -> str:
     x = f
     inner = f"select {k} as row_id, {f} as x from {t} where {f} is not null"
     for _ in range(4):
@@ -107,19 +137,23 @@ select '{t}' as table_name, row_id, '{f}' as field_name, node_path, owner, kind,
   from (select *, unnest(case when json_type(v) = 'OBJECT' then json_keys(v) else list_transform(range(json_array_length(v)::bigint), lambda z: z::varchar) end) as k,
         unnest(case when json_type(v) = 'OBJECT' then range(len(json_keys(v))) else range(json_array_length(v)::bigint) end) as i
         from w where json_type(v) in ('OBJECT', 'ARRAY')))
- select * from w where json_type(v) = 'OBJECT')"""
+ select * from w where {wanted})"""
 
 
 def _flat_sql(kind: str) -> str:
     fields, columns = KINDS[kind] if kind in KINDS else ((kind,), TOP[kind])
     t, k, f = next(x for x in FIELDS if x[2] == fields[0])
-    cols = ", ".join(
-        f"""case when json_type(v, '$."{c}"') in ('OBJECT', 'ARRAY', 'NULL') then null else json_extract_string(v, '$."{c}"') end as "{c}\"""" for c in columns
+    cols = "".join(
+        f""", case when json_type(v, '$."{c}"') in ('OBJECT', 'ARRAY', 'NULL') then null else json_extract_string(v, '$."{c}"') end as "{c}\"""" for c in columns
     )
-    return f"""select row_id as {k}, field_name, node_path, owner as parent_path, ordinal::int as ordinal, {cols}
+    return f"""select row_id as {k}, field_name, node_path, owner as parent_path, ordinal::int as ordinal{cols}
 from ({_walk_sql(t, k, f)}) where kind = '{kind}'"""
 
 
+_PLACE = "table_name, row_id, field_name, node_path, owner as parent_path, kind, ordinal::int as ordinal"
+_VALUES = " union all ".join(f"""select {_PLACE}, json_extract_string(v, '$') as value from ({_walk_sql(*x, wanted="json_type(v) not in ('OBJECT', 'ARRAY')")})""" for x in FIELDS)
+_OTHER = " union all ".join(f"select {_PLACE} from ({_walk_sql(*x)}) where kind not in ({str(_kinds_of(x[2]))[1:-1]})" for x in FIELDS)
+
 _LATEST = """
 latest as (select v, nullif(arg_max(p, (loaded_at, row_id)), '') as p from (
   select lower(trim(id)) as v, coalesce(lower(trim(parent)), '') as p, loaded_at, row_id from buck_dialects) where v <> '' group by v),
@@ -128,6 +162,8 @@ links as (select v, case when p in (select v from latest) then p end as p from l
 ORACLE_SQL = {
     "p2_found": " union all ".join(f"select table_name, row_id, field_name, node_path from ({_walk_sql(*x)})" for x in FIELDS),
     **{f"p2_{k}": _flat_sql(k) for k in (*TOP, *KINDS)},
+    "p2_values": _VALUES,
+    "p2_other": _OTHER,
     "p4_found": f"""with recursive {_LATEST},
 up(ancestor_id, descendant_id, steps) as (
   select p, v, 1 from links where p is not null

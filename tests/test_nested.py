@@ -2,6 +2,7 @@ import json
 import random
 
 from lexiloom.operators import nested as N
+from lexiloom.plans import data_queries
 
 
 def walk(v, p, out):
@@ -69,3 +70,24 @@ def test_flat_table_types(spark):
     got = sorted((r["node_path"], r["w"], r["n"]) for r in N.flat_table(df, ["id"], "f", "f", {"w": "string", "n": "int"}).collect())
     assert [(p, n) for p, _, n in got] == [("f[0]", 5), ("f[1]", 7), ("f[2]", None)]
     assert N.flat_table(df.limit(0), ["id"], "f", "f", {"w": "string"}).count() == 0
+
+
+def test_values_are_rows(spark):
+    df = spark.createDataFrame([(1, '{"d":["x",{"id":"y"},null,[2.5]],"c":"plain","e":[]}')], "id int, f string")
+    got = sorted((r["node_path"], r["parent_path"], r["kind"], r["ordinal"], r["value"]) for r in N.json_values(df, ["id"], "f").collect())
+    assert got == [
+        ("f.c", "f", "c", None, "plain"), ("f.d[0]", "f", "d", 0, "x"), ("f.d[1].id", "f.d[1]", "id", None, "y"), ("f.d[2]", "f", "d", 2, None), ("f.d[3][0]", "f", "d", 0, "2.5"),
+    ]
+
+
+def test_flat_tables_hold_every_object(spark, tmp_path):
+    rules = '[{"form":"a","dialects":["x",{"id":"y"}],"hand":{"scribe":{"new":{"q":1}}},"note":{"text":"t"}}]', '{"context":{"after":{"class":"v"}}}'
+    spark.createDataFrame([(1, *rules)], "row_id long, variants string, transformation string").write.parquet(f"{tmp_path}/buck_rules.parquet")
+    spark.createDataFrame([(2, '{"note":{"by":{"editor":"e"}}}')], "entry_id long, buck_ref string").write.parquet(f"{tmp_path}/buck_glossary.parquet")
+    q = data_queries.QUERIES
+    want = sorted((r["row_id"], r["node_path"]) for r in q["p2_found"](spark, str(tmp_path)).collect())
+    got = []
+    for name in ("p2_other", *[f"p2_{k}" for k in (*data_queries.TOP, *data_queries.KINDS)]):
+        got += [(r[0] if name != "p2_other" else r["row_id"], r["node_path"]) for r in q[name](spark, str(tmp_path)).collect()]
+    assert sorted(got) == want
+    assert {r["node_path"] for r in q["p2_other"](spark, str(tmp_path)).collect()} == {"variants[0].hand.scribe.new", "variants[0].note"}
