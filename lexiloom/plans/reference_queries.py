@@ -25,14 +25,27 @@ QUERY_WORDS = (
 VOWELS = tuple("aeiou")
 
 
-def query_words(spark: SparkSession) -> DataFrame:
+def query_words(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(w,) for w in QUERY_WORDS], "query string")
 
 
+def _words(documents: DataFrame) -> DataFrame:
+    return documents.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("word"))
+
+
 def lexicon(spark: SparkSession, d: str) -> DataFrame:
     """(word, freq): distinct lower-case ASCII words of all documents."""
-    words = table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), 1)).alias("word"))
-    return words.groupBy("word").agg(F.count("*").alias("freq"))
+    return _words(table(spark, d, "documents")).groupBy("word").agg(F.count("*").alias("freq"))
+
+
+def row_words(spark: SparkSession, d: str) -> DataFrame:
+    """The queries of searches: distinct words of every document whose id is divisible by 20."""
+    return _words(table(spark, d, "documents").where("doc_id % 20 = 0")).select(F.col("word").alias("query")).distinct()
+
+
+def all_words(spark: SparkSession, d: str) -> DataFrame:
+    """The left side of joins: the whole lexicon."""
+    return lexicon(spark, d).select(F.col("word").alias("query"))
 
 
 def _joined(tokens: Column | str) -> Column:
@@ -66,39 +79,39 @@ def kmer_postings(spark, d):
     return _postings(spark, d).select("kmer", "word")
 
 
-def _query_tokens(spark):
-    q = query_words(spark).withColumn("tok", S.digraph_tokens("query"))
+def _query_tokens(spark, d, words):
+    q = words(spark, d).withColumn("tok", S.digraph_tokens("query"))
     q = q.withColumn("sk", S.skeleton("tok", list(VOWELS)))
     return q.select(F.col("query").alias("qid"), F.size("tok").alias("q_len"), F.col("query").alias("q_ipa"), S.kmers("sk", 2).alias("q_kmers"), S.kmers("sk", 1).alias("q_unigrams"))
 
 
-def _seeds(spark, d):
-    return P.seeds(_query_tokens(spark), _postings(spark, d).select("kmer", F.col("word").alias("id")))
+def _seeds(spark, d, words):
+    return P.seeds(_query_tokens(spark, d, words), _postings(spark, d).select("kmer", F.col("word").alias("id")))
 
 
-def seed_topk(spark, d):
-    return _seeds(spark, d).where("pos <= 25").select(F.col("qid").alias("query"), F.col("id").alias("word"), F.col("score").cast("bigint").alias("score"), F.col("pos").cast("bigint").alias("rank"))
+def seed_topk(spark, d, words=query_words):
+    return _seeds(spark, d, words).where("pos <= 25").select(F.col("qid").alias("query"), F.col("id").alias("word"), F.col("score").cast("bigint").alias("score"), F.col("pos").cast("bigint").alias("rank"))
 
 
-def unigram_fallback(spark, d):
+def unigram_fallback(spark, d, words=query_words):
     """Queries without k=2 seeds, served by single consonants, nearest in length first."""
-    q = _query_tokens(spark)
-    bare = q.join(_seeds(spark, d).select("qid").distinct(), "qid", "left_anti")
+    q = _query_tokens(spark, d, words)
+    bare = q.join(_seeds(spark, d, words).select("qid").distinct(), "qid", "left_anti")
     index = _postings(spark, d, 1).select("kmer", F.col("word").alias("id"))
-    hit = P.seeds(bare, index, "q_unigrams").join(_tokens(spark, d).select(F.col("word").alias("id"), F.size("tok").alias("n")), "id").join(F.broadcast(bare), "qid")
+    hit = P.seeds(bare, index, "q_unigrams").join(_tokens(spark, d).select(F.col("word").alias("id"), F.size("tok").alias("n")), "id").join(bare, "qid")
     rn = F.row_number().over(Window.partitionBy("qid").orderBy(F.abs(F.col("n") - F.col("q_len")), F.col("id") != F.col("q_ipa"), "id"))
     return hit.select(F.col("qid").alias("query"), F.col("id").alias("word"), rn.cast("bigint").alias("rank")).where("rank <= 20")
 
 
-def proximity_topk(spark, d):
+def proximity_topk(spark, d, words=query_words):
     lex = _tokens(spark, d).select(F.col("word").alias("id"), F.size("tok").alias("n_tokens"), F.col("word").alias("ipa"))
-    got = P.proximity(_query_tokens(spark), lex, 20)
+    got = P.proximity(_query_tokens(spark, d, words), lex, 20)
     return got.select(F.col("qid").alias("query"), F.col("id").alias("word"), F.col("pos").cast("bigint").alias("rank"))
 
 
-def length_band_round_robin(spark, d):
+def length_band_round_robin(spark, d, words=query_words):
     lens = _tokens(spark, d).select(F.col("word").alias("id"), F.size("tok").alias("n"))
-    rest = _seeds(spark, d).where("pos > 25").join(lens, "id").join(F.broadcast(_query_tokens(spark).select("qid", "q_len")), "qid")
+    rest = _seeds(spark, d, words).where("pos > 25").join(lens, "id").join(_query_tokens(spark, d, words).select("qid", "q_len"), "qid")
     near = P.near_length(rest.select("qid", "id", F.abs(F.col("n") - F.col("q_len")).alias("delta"), F.col("pos").alias("seed_pos")))
     return near.where("turn <= 25").select(F.col("qid").alias("query"), F.col("id").alias("word"), F.col("delta").cast("bigint").alias("delta"), F.col("turn").cast("bigint").alias("turn"))
 
@@ -112,15 +125,15 @@ def headword_dedup(spark, d):
 
 
 def _fuzzy(k: int):
-    def query(spark, d):
-        return fuzzy.edit_distance_join(query_words(spark), lexicon(spark, d), "query", "word", k).select("query", "word", F.col("dist").cast("bigint").alias("dist"))
+    def query(spark, d, words=query_words):
+        return fuzzy.edit_distance_join(words(spark, d), lexicon(spark, d), "query", "word", k).select("query", "word", F.col("dist").cast("bigint").alias("dist"))
 
     return query
 
 
-def unit_normalized_distance(spark, d):
+def unit_normalized_distance(spark, d, words=query_words):
     """The native weighted distance with no matrix over letters is the unit distance over the longer length."""
-    pairs = _fuzzy(2)(spark, d)
+    pairs = _fuzzy(2)(spark, d, words)
     dist = align.normalised_distance(F.split("query", ""), F.split("word", ""), {})
     return pairs.select("query", "word", F.round(dist, 6).alias("distance"))
 
@@ -135,6 +148,36 @@ def _wild(pattern: str):
     return query
 
 
+#: Patterns by shape, built from a query word: its first three letters, its last two, its first and its last two.
+PATTERNS = {
+    "prefix": "concat(left(query, 3), '-')",
+    "suffix": "concat('-', right(query, 2))",
+    "infix": "if(length(query) > 2, concat(left(query, 1), '-', right(query, 2)), null)",
+}
+
+
+def _wild_all(shape: str):
+    """Patterns of all query words, joined by the tokens a full match must hold rather than word by word."""
+
+    def query(spark, d):
+        q = row_words(spark, d).select(F.expr(PATTERNS[shape]).alias("query")).where("query is not null").distinct().withColumn("p", S.wildcard_parts("query"))
+        q = q.select("query", "p.shape", S.digraph_tokens("p.left").alias("l"), S.digraph_tokens("p.right").alias("r"))
+        t = _tokens(spark, d).select("word", "tok")
+        if shape == "infix":
+            seen = t.withColumn("_x", F.array_distinct("tok"))
+            firsts, lasts = seen.select("*", F.explode("_x").alias("a")), lambda x: F.size("tok") + 1 - F.array_position(F.reverse("tok"), x)
+            pairs = firsts.select("word", "tok", "a", F.array_position("tok", F.col("a")).alias("_i"), F.explode("_x").alias("b"))
+            t = pairs.where(F.col("_i") < lasts(F.col("b"))).select("word", "tok", "a", "b")
+            q = q.withColumns({"a": F.get("l", F.lit(0)), "b": F.get("r", F.lit(0))})
+        else:
+            edge = F.lit(1 if shape == "prefix" else -1)
+            t, q = t.withColumn("a", F.element_at("tok", edge)), q.withColumn("a", F.element_at("l" if shape == "prefix" else "r", edge))
+        got = t.join(q, ["a", "b"] if shape == "infix" else "a").withColumn("m", S.wildcard_match(F.col("shape"), F.col("l"), F.col("r"), F.col("tok")))
+        return got.where("m.full").select("query", "word", F.col("m.frag").cast("bigint").alias("fragments"), F.col("m.overlap").cast("bigint").alias("overlap"))
+
+    return query
+
+
 def ascii_collapse(c: Column) -> Column:
     """c, q like k; z like s; y like i; doubled letters single."""
     return F.regexp_replace(F.translate(c, "cqzy", "kksi"), r"(.)\1+", "$1")
@@ -144,30 +187,30 @@ def collapse_keys(spark, d):
     return lexicon(spark, d).select("word", ascii_collapse(F.col("word")).alias("key"))
 
 
-def collapse_join(spark, d):
-    return fuzzy.key_join(query_words(spark), lexicon(spark, d), "query", "word", ascii_collapse)
+def collapse_join(spark, d, words=query_words):
+    return fuzzy.key_join(words(spark, d), lexicon(spark, d), "query", "word", ascii_collapse)
 
 
-def candidate_union_mincost(spark, d):
-    got = ladder.union(ladder.generators(query_words(spark), lexicon(spark, d), ascii_collapse))
+def candidate_union_mincost(spark, d, words=query_words):
+    got = ladder.union(ladder.generators(words(spark, d), lexicon(spark, d), ascii_collapse))
     return got.select("query", "word", F.round("cost", 6).alias("cost"), F.col("freq").cast("bigint").alias("freq"))
 
 
-def cascade_vs_union(spark, d):
+def cascade_vs_union(spark, d, words=query_words):
     """Per query the candidates of the cascade's first stage that has any, beside those of the union."""
-    parts = ladder.generators(query_words(spark), lexicon(spark, d), ascii_collapse)
+    parts = ladder.generators(words(spark, d), lexicon(spark, d), ascii_collapse)
     c = ladder.cascade(parts).groupBy("query").agg(F.first("stage").alias("stage"), F.countDistinct("word").alias("n_cascade"))
     u = ladder.union(parts).groupBy("query").agg(F.count("*").alias("n_union"))
     return u.join(c, "query").select("query", "stage", "n_cascade", "n_union")
 
 
-def ladder_rank(spark, d):
-    got = ladder.ranked(ladder.union(ladder.generators(query_words(spark), lexicon(spark, d), ascii_collapse)))
+def ladder_rank(spark, d, words=query_words):
+    got = ladder.ranked(ladder.union(ladder.generators(words(spark, d), lexicon(spark, d), ascii_collapse)))
     return got.select("query", "word", F.col("rank").cast("bigint").alias("rank"))
 
 
-def additive_rerank(spark, d):
-    u = ladder.union(ladder.generators(query_words(spark), lexicon(spark, d), ascii_collapse))
+def additive_rerank(spark, d, words=query_words):
+    u = ladder.union(ladder.generators(words(spark, d), lexicon(spark, d), ascii_collapse))
     s = F.round(ladder.additive_score(F.col("freq"), F.col("freq"), F.col("cost")), 6)
     return ladder.ranked(u.withColumn("score", s), F.desc("score"), F.col("word")).select("query", "word", "score", F.col("rank").cast("bigint").alias("rank"))
 
@@ -439,6 +482,14 @@ def alternation_probabilities(spark, d):
     return labels.probabilities(c.select(labels.alternations(S.base_key("original"), S.base_key("normalized")).alias("labels")))
 
 
+def _with(query, words):
+    return lambda spark, d: query(spark, d, words)
+
+
+#: Queries on the few words of ``QUERY_WORDS``; those that end in _all take their words from the tables.
+SEARCHES = ("seed_topk", "unigram_fallback", "proximity_topk", "length_band_round_robin", "candidate_union_mincost", "cascade_vs_union", "ladder_rank", "additive_rerank")
+JOINS = ("fuzzy_join_d1", "fuzzy_join_d2", "unit_normalized_distance", "collapse_join")
+
 QUERIES = {
     "lexicon_tokens": lexicon_tokens, "consonant_skeleton": consonant_skeleton, "kmer_postings": kmer_postings, "seed_topk": seed_topk, "unigram_fallback": unigram_fallback,
     "proximity_topk": proximity_topk, "length_band_round_robin": length_band_round_robin, "headword_dedup": headword_dedup, "fuzzy_join_d1": _fuzzy(1), "fuzzy_join_d2": _fuzzy(2),
@@ -452,6 +503,8 @@ QUERIES = {
     "sw_search": sw_search, "record_search": record_search, "explain_rules": explain_rules, "weighted_edit_distance": weighted_edit_distance, "learned_log_odds": learned_log_odds, "cluster_bootstrap": cluster_bootstrap,
     "mcnemar": mcnemar, "form_keys": form_keys, "markup_classes": markup_classes, "alternation_probabilities": alternation_probabilities,
 }
+QUERIES |= {f"{n}_all": _with(QUERIES[n], row_words) for n in SEARCHES} | {f"{n}_all": _with(QUERIES[n], all_words) for n in JOINS}
+QUERIES |= {f"wildcard_{shape}_all": _wild_all(shape) for shape in PATTERNS}
 
 # --- SQL ------------------------------------------------------------------------
 
@@ -563,3 +616,10 @@ select d as dialect, rule, min(steps)::bigint as depth from (select d, rule, ste
     "drop_reasons": """select reason, count(*) as n from (select unnest(list_filter([case when n_chars < 200 then 'short' end, case when n_chars > 10000 then 'long' end, case when lang is null then 'no_lang' end,
 case when source is null then 'no_source' end, case when not regexp_matches(text, '[a-z]{3}') then 'no_words' end], lambda x: x is not null)) as reason from documents) group by 1""",
 }
+_QR = "q as (select distinct unnest(regexp_extract_all(lower(text), '[a-z]+')) as query from documents where doc_id % 20 = 0)"
+_QA = "q as (select word as query from w)"
+ORACLE_SQL |= {f"{n}_all": ORACLE_SQL[n].replace(_Q, _QR) for n in SEARCHES} | {f"{n}_all": ORACLE_SQL[n].replace(_Q, _QA) for n in JOINS}
+for _shape, _part, _edge in (("prefix", "left(query, 3)", "tok[1:len(f)]"), ("suffix", "right(query, 2)", "tok[len(tok) - len(f) + 1:len(tok)]")):
+    _name = "f || '-'" if _shape == "prefix" else "'-' || f"
+    ORACLE_SQL[f"wildcard_{_shape}_all"] = f"""with {_W}, {_QR}, pt as (select distinct {_part} as f from q), pf as (select {_name} as query, regexp_extract_all(f, 'th|sh|ch|ph|[a-z]') as f from pt)
+select query, word, 1::bigint as fragments, len(f)::bigint as overlap from pf, t where len(f) <= len(tok) and {_edge} = f"""
