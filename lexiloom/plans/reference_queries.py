@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lexiloom import profiles
 from lexiloom.functions import scalars as S
+from lexiloom.functions.unicode import nfc
 from lexiloom.operators import align, catalogue, evaluation, fuzzy, hierarchy, labels, ladder, learn, ngrams, ordered, rules
 from lexiloom.plans import search as P
 from lexiloom.plans.data_queries import _LATEST, table
@@ -246,9 +247,15 @@ def _sentences(spark, d):
     return parts.select(F.regexp_extract_all("s", F.lit("([a-z]+)"), 1).alias("tok"))
 
 
-def _grams(n: int):
+def _whole_sentences(documents: DataFrame) -> DataFrame:
+    """As ``_sentences``, with the words of every script: letters and marks of the composed text, σ and ς being one letter."""
+    parts = documents.select(F.explode(F.split(F.translate(F.lower(nfc("text")), "ς", "σ"), r"[.;\n]+")).alias("s"))
+    return parts.select(F.regexp_extract_all("s", F.lit(r"([\p{L}\p{M}]+)"), 1).alias("tok"))
+
+
+def _grams(n: int, whole: bool = False):
     def query(spark, d):
-        return ngrams.counts(_sentences(spark, d), "tok", n)
+        return ngrams.counts(_whole_sentences(table(spark, d, "documents")) if whole else _sentences(spark, d), "tok", n)
 
     return query
 
@@ -505,6 +512,7 @@ QUERIES = {
 }
 QUERIES |= {f"{n}_all": _with(QUERIES[n], row_words) for n in SEARCHES} | {f"{n}_all": _with(QUERIES[n], all_words) for n in JOINS}
 QUERIES |= {f"wildcard_{shape}_all": _wild_all(shape) for shape in PATTERNS}
+QUERIES |= {"word_freq_all": _grams(1, True), "ngrams_bi_all": _grams(2, True), "ngrams_tri_all": _grams(3, True)}
 
 # --- SQL ------------------------------------------------------------------------
 
@@ -623,3 +631,5 @@ for _shape, _part, _edge in (("prefix", "left(query, 3)", "tok[1:len(f)]"), ("su
     _name = "f || '-'" if _shape == "prefix" else "'-' || f"
     ORACLE_SQL[f"wildcard_{_shape}_all"] = f"""with {_W}, {_QR}, pt as (select distinct {_part} as f from q), pf as (select {_name} as query, regexp_extract_all(f, 'th|sh|ch|ph|[a-z]') as f from pt)
 select query, word, 1::bigint as fragments, len(f)::bigint as overlap from pf, t where len(f) <= len(tok) and {_edge} = f"""
+_SA = _S.replace("lower(text)", "replace(lower(nfc_normalize(text)), 'ς', 'σ')").replace("'[a-z]+'", "'[\\p{L}\\p{M}]+'")
+ORACLE_SQL |= {f"{n}_all": ORACLE_SQL[n].replace(_S, _SA) for n in ("word_freq", "ngrams_bi", "ngrams_tri")}

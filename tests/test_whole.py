@@ -34,3 +34,10 @@ def test_infix_patterns(spark):
 
     want = {(f"{a}-{b}", w) for a, b in patterns for w, tok in tokens.items() if full([a], cut(b), tok)}
     assert {(r["query"], r["word"]) for r in R.QUERIES["wildcard_infix_all"](spark, D).collect()} == want
+
+
+def test_ngrams_hold_words_of_every_script(spark, tmp_path):
+    spark.createDataFrame([(1, "Ο λόγος für ΛΌΓΟΣ. e\u0301té")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["w1"]: r["count"] for r in R.QUERIES["word_freq_all"](spark, str(tmp_path)).collect()}
+    assert got == {"<s>": 4, "</s>": 2, "ο": 1, "λόγοσ": 2, "für": 1, "été": 1}
+    assert ("ο", "λόγοσ", "für") in {tuple(r)[:3] for r in R.QUERIES["ngrams_tri_all"](spark, str(tmp_path)).collect()}
