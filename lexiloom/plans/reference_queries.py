@@ -17,6 +17,7 @@ from lexiloom.functions.unicode import nfc
 from lexiloom.operators import align, catalogue, evaluation, fuzzy, hierarchy, labels, ladder, learn, ngrams, ordered, rules
 from lexiloom.plans import search as P
 from lexiloom.plans.data_queries import _LATEST, table
+from lexiloom.session import Scratch
 
 #: Misspelt query words of the ASCII profile.
 QUERY_WORDS = (
@@ -247,10 +248,10 @@ def _sentences(spark, d):
     return parts.select(F.regexp_extract_all("s", F.lit("([a-z]+)"), 1).alias("tok"))
 
 
-def _whole_sentences(documents: DataFrame) -> DataFrame:
+def _whole_sentences(documents: DataFrame, *keep: str) -> DataFrame:
     """As ``_sentences``, with the words of every script: letters and marks of the composed text, σ and ς being one letter."""
-    parts = documents.select(F.explode(F.split(F.translate(F.lower(nfc("text")), "ς", "σ"), r"[.;\n]+")).alias("s"))
-    return parts.select(F.regexp_extract_all("s", F.lit(r"([\p{L}\p{M}]+)"), 1).alias("tok"))
+    parts = documents.select(*keep, F.explode(F.split(F.translate(F.lower(nfc("text")), "ς", "σ"), r"[.;\n]+")).alias("s"))
+    return parts.select(*keep, F.regexp_extract_all("s", F.lit(r"([\p{L}\p{M}]+)"), 1).alias("tok"))
 
 
 def _grams(n: int, whole: bool = False):
@@ -270,6 +271,25 @@ def stupid_backoff(spark, d):
     return scored.select("w1", "w2", F.round("score", 6).alias("score"))
 
 
+def stupid_backoff_all(spark, d):
+    """Scores of every trigram of all documents; the counts leave out documents whose id is divisible by 20, so theirs back off.
+
+    As in the reference, the two opening marks are a context too: their count is the number of sentences.
+    """
+    docs = table(spark, d, "documents").withColumn("counted", F.when(F.col("doc_id") % 20 == 0, 0).otherwise(1))
+    s = _whole_sentences(docs, "counted").where(F.size("tok") > 0)
+    seen = s.select("counted", F.inline(ngrams.ngrams("tok", 3)).alias("w1", "w2", "w3")).groupBy("w1", "w2", "w3").agg(F.sum("counted").alias("count"))
+    triples = Scratch(spark, "backoff").write(seen, "seen")
+    # every shorter gram but the opening marks ends one trigram, so the documents are read once
+    tri = triples.where("count > 0")
+    bi = tri.groupBy(F.col("w2").alias("w1"), F.col("w3").alias("w2")).agg(F.sum("count").alias("count"))
+    opening = tri.where((F.col("w1") == ngrams.BOS) & (F.col("w2") == ngrams.BOS)).groupBy("w1", "w2").agg(F.sum("count").alias("count"))
+    uni = tri.groupBy(F.col("w3").alias("w1")).agg(F.sum("count").alias("count")).unionByName(opening.select("w1", (2 * F.col("count")).alias("count")))
+    total = uni.agg(F.sum("count").alias("total"))
+    scored = ngrams.backoff(triples.drop("count").join(F.broadcast(total)), uni, bi.unionByName(opening), tri, F.col("total"))
+    return scored.select("w1", "w2", "w3", F.round("score", 6).alias("score"))
+
+
 def context_lag2(spark, d):
     """The two events before each event of a user; a user's events may fill many partitions."""
     e = table(spark, d, "events").select("event_id", "user_id", "ts", "event_type")
@@ -512,7 +532,7 @@ QUERIES = {
 }
 QUERIES |= {f"{n}_all": _with(QUERIES[n], row_words) for n in SEARCHES} | {f"{n}_all": _with(QUERIES[n], all_words) for n in JOINS}
 QUERIES |= {f"wildcard_{shape}_all": _wild_all(shape) for shape in PATTERNS}
-QUERIES |= {"word_freq_all": _grams(1, True), "ngrams_bi_all": _grams(2, True), "ngrams_tri_all": _grams(3, True)}
+QUERIES |= {"word_freq_all": _grams(1, True), "ngrams_bi_all": _grams(2, True), "ngrams_tri_all": _grams(3, True), "stupid_backoff_all": stupid_backoff_all}
 
 # --- SQL ------------------------------------------------------------------------
 
@@ -633,3 +653,10 @@ for _shape, _part, _edge in (("prefix", "left(query, 3)", "tok[1:len(f)]"), ("su
 select query, word, 1::bigint as fragments, len(f)::bigint as overlap from pf, t where len(f) <= len(tok) and {_edge} = f"""
 _SA = _S.replace("lower(text)", "replace(lower(nfc_normalize(text)), 'ς', 'σ')").replace("'[a-z]+'", "'[\\p{L}\\p{M}]+'")
 ORACLE_SQL |= {f"{n}_all": ORACLE_SQL[n].replace(_S, _SA) for n in ("word_freq", "ngrams_bi", "ngrams_tri")}
+_SB = _SA.replace("from documents)", "from documents where doc_id % 20 <> 0)")
+_ST = _SA[: _SA.index("g1 as")].replace("sent as", "sent_a as").replace("p as (", "p_a as (").replace("from sent ", "from sent_a ")
+ORACLE_SQL["stupid_backoff_all"] = f"""with {_SB}, {_ST}t as (select distinct p[i] as w1, p[i+1] as w2, p[i+2] as w3 from (select p, unnest(range(1, len(p) - 1)) as i from p_a)),
+b2 as (select * from g2 union all select '<s>', '<s>', count(*) from p), n as (select sum(count) as n from g1)
+select t.w1, t.w2, t.w3, round(ln(coalesce(g3.count / c.count, 0.4 * b.count / u.count, 0.4 * 0.4 * w.count / n.n, 0.4 * 0.4 * 0.4 / n.n)), 6) as score from t
+left join g3 on g3.w1 = t.w1 and g3.w2 = t.w2 and g3.w3 = t.w3 left join b2 c on c.w1 = t.w1 and c.w2 = t.w2
+left join b2 b on b.w1 = t.w2 and b.w2 = t.w3 left join g1 u on u.w1 = t.w2 left join g1 w on w.w1 = t.w3, n"""

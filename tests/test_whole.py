@@ -1,5 +1,6 @@
 """Queries that take their words from the tables, as the fixed words of the first queries cut them."""
 
+import math
 import os
 import re
 
@@ -41,3 +42,12 @@ def test_ngrams_hold_words_of_every_script(spark, tmp_path):
     got = {r["w1"]: r["count"] for r in R.QUERIES["word_freq_all"](spark, str(tmp_path)).collect()}
     assert got == {"<s>": 4, "</s>": 2, "ο": 1, "λόγοσ": 2, "für": 1, "été": 1}
     assert ("ο", "λόγοσ", "für") in {tuple(r)[:3] for r in R.QUERIES["ngrams_tri_all"](spark, str(tmp_path)).collect()}
+
+
+def test_every_arm_of_the_backoff(spark, tmp_path):
+    texts = [(1, "a b c. a b d"), (20, "a b c. x b c. b a. x y")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r)[:3]: r["score"] for r in R.QUERIES["stupid_backoff_all"](spark, str(tmp_path)).collect()}
+    total = 2 * 6  # two sentences of three words and three marks
+    want = {("a", "b", "c"): 1 / 2, ("<s>", "<s>", "a"): 2 / 2, ("x", "b", "c"): 0.4 * 1 / 2, ("<s>", "b", "a"): 0.16 * 2 / total, ("<s>", "x", "y"): 0.064 / total}
+    assert {k: got[k] for k in want} == {k: round(math.log(v), 6) for k, v in want.items()}
