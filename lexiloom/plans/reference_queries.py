@@ -308,6 +308,13 @@ def doc_split_stratified(spark, d):
     return evaluation.document_split(docs, "doc_id", "n_chars", stratum="lang")
 
 
+def doc_split_stratified_all(spark, d):
+    """Split by language, whose case and blanks do not count."""
+    lang = F.nullif(F.lower(F.trim("lang")), F.lit(""))
+    docs = evaluation.top_strata(table(spark, d, "documents").select("doc_id", "n_chars", lang.alias("lang")), "lang", "n_chars")
+    return evaluation.document_split(docs, "doc_id", "n_chars", stratum="lang")
+
+
 def _ranks(spark, d):
     """Rank of each entry's normalized form among its candidates; null if it is none of them."""
     c = table(spark, d, "correspondence_entries")
@@ -532,7 +539,7 @@ QUERIES = {
 }
 QUERIES |= {f"{n}_all": _with(QUERIES[n], row_words) for n in SEARCHES} | {f"{n}_all": _with(QUERIES[n], all_words) for n in JOINS}
 QUERIES |= {f"wildcard_{shape}_all": _wild_all(shape) for shape in PATTERNS}
-QUERIES |= {"word_freq_all": _grams(1, True), "ngrams_bi_all": _grams(2, True), "ngrams_tri_all": _grams(3, True), "stupid_backoff_all": stupid_backoff_all}
+QUERIES |= {"word_freq_all": _grams(1, True), "ngrams_bi_all": _grams(2, True), "ngrams_tri_all": _grams(3, True), "stupid_backoff_all": stupid_backoff_all, "doc_split_stratified_all": doc_split_stratified_all}
 
 # --- SQL ------------------------------------------------------------------------
 
@@ -660,3 +667,5 @@ b2 as (select * from g2 union all select '<s>', '<s>', count(*) from p), n as (s
 select t.w1, t.w2, t.w3, round(ln(coalesce(g3.count / c.count, 0.4 * b.count / u.count, 0.4 * 0.4 * w.count / n.n, 0.4 * 0.4 * 0.4 / n.n)), 6) as score from t
 left join g3 on g3.w1 = t.w1 and g3.w2 = t.w2 and g3.w3 = t.w3 left join b2 c on c.w1 = t.w1 and c.w2 = t.w2
 left join b2 b on b.w1 = t.w2 and b.w2 = t.w3 left join g1 u on u.w1 = t.w2 left join g1 w on w.w1 = t.w3, n"""
+_LANGS = "(select doc_id, n_chars, nullif(lower(trim(lang)), '') as lang from documents)"
+ORACLE_SQL["doc_split_stratified_all"] = _split_sql("s", f"(select doc_id, n_chars, case when lang in (select lang from {_LANGS} group by 1 order by sum(n_chars) desc, lang limit 20) then lang else 'other' end as s from {_LANGS})")

@@ -51,3 +51,10 @@ def test_every_arm_of_the_backoff(spark, tmp_path):
     total = 2 * 6  # two sentences of three words and three marks
     want = {("a", "b", "c"): 1 / 2, ("<s>", "<s>", "a"): 2 / 2, ("x", "b", "c"): 0.4 * 1 / 2, ("<s>", "b", "a"): 0.16 * 2 / total, ("<s>", "x", "y"): 0.064 / total}
     assert {k: got[k] for k in want} == {k: round(math.log(v), 6) for k, v in want.items()}
+
+
+def test_every_language_is_split(spark, tmp_path):
+    langs = ["en", " EN", "de", "fr", "el", "la", "it"]
+    spark.createDataFrame([(i, x, 10) for i, x in enumerate(langs)], "doc_id long, lang string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["split"] for r in R.QUERIES["doc_split_stratified_all"](spark, str(tmp_path)).collect()}
+    assert sorted((got[0], got[1])) == ["dev", "test"] and {got[i] for i in range(2, 7)} == {"dev"}
