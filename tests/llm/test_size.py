@@ -57,7 +57,9 @@ def test_mix(spark):
     docs = [(i, "a", 10) for i in range(1000)] + [(10_000 + i, "b", 10) for i in range(100)] + [(20_000 + i, "c", 5) for i in range(50)] + [(1, None, 7), (None, "a", 0)]
     counted = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
     targets = spark.createDataFrame([("a", 0.5, 1, "k"), ("b", 0.4, 3, "k"), ("gone", 0.1, 2, "k")], "source string, target_share double, max_repeats int, tokens string")
-    rep = {r["source"]: r for r in mixing.shares(mixing.mix(counted, targets), counted, targets).collect()}
+    exact = mixing.exact_budget(counted, targets)
+    assert exact == pytest.approx(3000 * 9 / 4)
+    rep = {r["source"]: r for r in mixing.shares(mixing.mix(counted, targets, budget=exact), counted, targets, exact).collect()}
     assert set(rep) == {"a", "b", "gone"}
     # b is the scarce one: 1,000 tokens, at most three times
     assert rep["b"]["rate"] == pytest.approx(3.0) and rep["b"]["used_tokens"] == 3000 and rep["b"]["most_repeats"] == 3
@@ -66,6 +68,27 @@ def test_mix(spark):
     assert again == mixing.mix(counted, targets).groupBy("doc_id").count().orderBy("doc_id").collect()
 
 
+def test_mix_fills_the_budget(spark):
+    docs = [(i, "a", 10) for i in range(1000)] + [(10_000 + i, "b", 10) for i in range(100)]
+    counted = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 3)], "source string, target_share double, max_repeats int")
+    rep = {r["source"]: r for r in mixing.rates(counted, targets).collect()}
+    # of 11,000 tokens b can give 3,000 only; a gives what it leaves
+    assert rep["b"]["rate"] == 3.0 and rep["a"]["rate"] == pytest.approx(0.8) and rep["a"]["reachable"] == pytest.approx(8 / 11)
+    for budget, a, b in ((0.0, 0, 0), (1_000.0, 0.05, 0.5), (6_000.0, 0.3, 3.0), (23_000.0, 2.0, 3.0), (1e9, 2.0, 3.0)):
+        rep = {r["source"]: r["rate"] for r in mixing.rates(counted, targets, budget).collect()}
+        assert (rep["a"], rep["b"]) == (pytest.approx(a), pytest.approx(b))
+
+
+def test_mix_is_the_same_by_shuffle(spark, monkeypatch):
+    docs = [(i, "ab"[i % 2], i % 7) for i in range(300)] + [(None, "a", None)]
+    counted = spark.createDataFrame(docs, "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.9, 2), ("b", 0.1, 3)], "source string, target_share double, max_repeats int")
+    want = sorted(map(str, mixing.mix(counted, targets).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_TARGETS", 1)
+    assert sorted(map(str, mixing.mix(counted, targets).collect())) == want
+
+
 def test_mix_of_nothing(spark):
     counted = spark.createDataFrame([], "doc_id long, source string, n_tokens long")
     targets = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int")
