@@ -53,9 +53,14 @@ class Scratch:
         self.schemas: dict[str, StructType] = {}
         atexit.register(self.close)
 
-    def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-        """Write ``df`` as ``name``, in folders ``by`` a column if given, and return it read back, without its lineage."""
+    def write(self, df: DataFrame, name: str, by: str | None = None, row_group: int | None = None) -> DataFrame:
+        """Write ``df`` as ``name``, in folders ``by`` a column if given, and return it read back, without its lineage.
+
+        ``row_group`` bounds the bytes of a row group, for rows that are large.
+        """
         out = df.write.mode("overwrite").option("compression", "zstd")
+        if row_group:
+            out = out.option("parquet.block.size", row_group)
         (out.partitionBy(by) if by else out).parquet(f"{self.root}/{name}")
         self.schemas[name] = df.schema
         return self.read([name])
