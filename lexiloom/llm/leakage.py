@@ -1,25 +1,23 @@
 """Evaluation passages inside training text, found through an FM-index per shard (p6).
 
-Every test item's runs of ``words`` consecutive words are the phrases.  Each training
-partition is cut into shards of bounded size; per shard an FM-index is built over its
-words, all phrases are searched backward at once, occurrences are located by sampled
-suffix positions and mapped to documents, and overlapping ones are merged to spans.
-
-The alphabet is the phrases' words.  A run of alphabet words shorter than a phrase
-cannot hold one and is not indexed; this loses no occurrence.
-
-Words are runs of letters and digits of the composed text, caseless, final sigma being
-sigma.  Defined results: null and empty texts hold nothing; an item with fewer words
-than a phrase leaks nowhere; texts are processed whole, whatever their length.
-
-The test items go to every task, so they must be few: up to ``MAX_ITEM_WORDS`` words;
-more are searched in blocks, one pass each.
+``build_index`` cuts each training partition into shards of bounded size, never a
+document, and builds over each shard's words an FM-index, stored as one row of plain
+bytes; nothing of it depends on the test items, so one index serves any item set.
+``search`` takes every run of ``words`` consecutive words of the items as phrases,
+searches all of them backward at once through the shard's wavelet-tree ranks, locates
+the occurrences by sampled suffix positions, maps them to documents and merges
+overlapping ones to removal spans.
+
+Words and their places are defined in ``words``.  Defined results: null and empty texts
+hold nothing; an item with fewer words than a phrase leaks nowhere; texts are processed
+whole, whatever their length; rows that repeat an id are searched each.
+
+The items go to every task in blocks of at most ``MAX_ITEM_BYTES`` of text (a single
+item is not cut), one pass over the index each; the driver holds one block at a time.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,177 +25,206 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexiloom.llm import words as W
 from lexiloom.llm.fmindex import FMIndex
+from lexiloom.session import Scratch
 
 WORDS = 12
-#: Words of one shard's index; a document is never cut.
-SHARD_WORDS = 2_000_000
-#: Words of test items that one pass takes along.
-MAX_ITEM_WORDS = 2_000_000
-
-_WORD = re.compile(r"[^\W_]+")
+#: Words of one shard's index from which it is closed; a document is never cut.
+SHARD_WORDS = 1_000_000
+#: Bytes of item texts that one pass takes along.
+MAX_ITEM_BYTES = 4 << 20
+#: Bytes of one row group of a stored index, so that no reader holds more at once.
+ROW_GROUP = 16 << 20
 
+_BYTES = ("numbers", "levels", "counts", "marks", "samples", "gaps", "sizes")
 
-def fold(text: str) -> str:
-    """Composed and in lower case, final sigma as sigma; may be longer or shorter than the text."""
-    return unicodedata.normalize("NFC", text).lower().replace("ς", "σ")
 
+def _stored(values: np.ndarray) -> bytes:
+    import zstandard
 
-def words_of(text: str) -> list[str]:
-    return _WORD.findall(fold(text))
+    return zstandard.compress(values.astype(np.int32).tobytes(), 1)
 
 
-def word_spans(text: str) -> list[tuple[int, int]]:
-    """Start and end of each word in the text as it is; None where folding moves word bounds."""
-    spans = []
-    # combining marks belong to the letter before them once composed
-    for m in re.finditer(r"[^\W_](?:[^\W_]|[̀-ͯ])*", text):
-        spans.append(m.span())
-    return spans
+def _restored(data: bytes) -> np.ndarray:
+    import zstandard
 
+    return np.frombuffer(zstandard.decompress(data), np.int32).astype(np.int64)
 
-class Phrases:
-    """All phrases of the items as rows of word numbers, and which items hold each."""
-
-    def __init__(self, items: list[tuple[int, str]], words: int):
-        self.words = words
-        self.numbers: dict[str, int] = {}
-        rows: dict[tuple, set] = {}
-        for item, text in items:
-            w = [self.numbers.setdefault(x, len(self.numbers) + 1) for x in words_of(text or "")]
-            for i in range(len(w) - words + 1):
-                rows.setdefault(tuple(w[i : i + words]), set()).add(item)
-        self.rows = np.array(list(rows), np.int64).reshape(len(rows), words)
-        self.items = [sorted(x) for x in rows.values()]
-
-    def search(self, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(phrase, position) of all occurrences in a sequence of word numbers."""
-        index = FMIndex(seq, len(self.numbers) + 1)
-        low, high = index.search(self.rows)
-        n = high - low
-        which = np.repeat(np.arange(len(n)), n)
-        if not len(which):
-            return which, which
-        rank = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + low[which]
-        return which, index.locate(rank)
-
-
-def _runs(numbers: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the runs of alphabet words that are long enough."""
-    inside = np.concatenate([[0], (numbers > 0).astype(np.int8), [0]])
-    edge = np.diff(inside)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    long = end - start >= words
-    return start[long], end[long]
-
-
-def _search_shard(phrases: Phrases, docs: list[tuple[int, int, np.ndarray]]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """docs: (index, offset of the run in its document, numbers).  Yields per document the phrases and word positions found."""
-    lengths = np.array([len(x) + 1 for _, _, x in docs])
-    ends = np.cumsum(lengths)
-    seq = np.zeros(int(ends[-1]), np.int64)
-    for e, (_, _, x) in zip(ends, docs, strict=True):
-        seq[e - len(x) - 1 : e - 1] = x
-    which, at = phrases.search(seq)
-    if not len(which):
-        return
-    run = np.searchsorted(ends, at, side="right")
-    owner = np.array([d for d, _, _ in docs])[run]
-    place = at - (ends - lengths)[run] + np.array([o for _, o, _ in docs])[run]
-    order = np.lexsort((which, place, owner))
-    owner, place, which = owner[order], place[order], which[order]
-    cuts = np.flatnonzero(np.diff(owner)) + 1
-    for o, p, w in zip(np.split(owner, cuts), np.split(place, cuts), np.split(which, cuts), strict=True):
-        yield int(o[0]), len(p), p, w
 
+def build_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per shard: ``docs`` (ids), ``ends`` (place of each one's separator), the index's bytes and the words' places.
 
-def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, item_id, spans): what of each item each document holds.
-
-    ``spans`` are the merged character ranges [start, end) of the text to remove.
+    ``numbers`` are the sorted word numbers, ``gaps`` and ``sizes`` the characters between and in the words.
     """
-    blocks = _item_blocks(items, item_id, item_text)
-    parts = [_leaks(documents, b, doc_id, text, words) for b in blocks]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _item_blocks(items: DataFrame, item_id: str, item_text: str) -> list[list]:
-    """The items in blocks of bounded size (an iterator, so the driver holds one block more at most)."""
-    blocks, block, size = [], [], 0
-    for r in items.select(F.col(item_id), F.col(item_text)).where(F.col(item_text).isNotNull()).toLocalIterator():
-        n = len(r[1].split())
-        if block and size + n > MAX_ITEM_WORDS:
-            blocks.append(block)
-            block, size = [], 0
-        block.append((r[0], r[1]))
-        size += n
-    return [*blocks, block]
-
-
-def _leaks(documents: DataFrame, items: list, doc_id: str, text: str, words: int) -> DataFrame:
-    sent = documents.sparkSession.sparkContext.broadcast(items)
-    schema = f"{doc_id} {documents.schema[doc_id].dataType.simpleString()}, item_id bigint, spans array<struct<start:int,end:int>>"
+    kind = documents.schema[doc_id].dataType
+    schema = f"docs array<{kind.simpleString()}>, ends array<int>, n int, " + ", ".join(f"{c} binary" for c in _BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = Phrases(sent.value, words)
-        get = phrases.numbers.get
-        ids, texts, docs, size = [], {}, [], 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            out: dict[str, list] = {doc_id: [], "item_id": [], "spans": []}
-            for d, _, place, which in _search_shard(phrases, docs):
-                bounds = word_spans(texts[d])
-                held: dict[int, list] = {}
-                for p, w in zip(place.tolist(), which.tolist(), strict=True):
-                    for item in phrases.items[w]:
-                        held.setdefault(item, []).append(p)
-                for item, ps in sorted(held.items()):
-                    out[doc_id].append(ids[d])
-                    out["item_id"].append(item)
-                    out["spans"].append(_merge(ps, words, bounds, len(texts[d])))
-            if out[doc_id]:
-                span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[doc_id], batch_type), pa.array(out["item_id"], pa.int64()), pa.array(out["spans"], span)], [doc_id, "item_id", "spans"]
-                )
-
-        batch_type = pa.int64()
-        if not len(phrases.rows):
-            for _ in batches:
-                pass
-            return
+        ids: list = []
+        parts: list[tuple] = []
+        held, id_type = 0, pa.int64()
+
+        def flush() -> pa.RecordBatch:
+            number, start, end, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+            known, place = np.unique(number, return_inverse=True)
+            docs, per_doc = np.unique(owner, return_counts=True)
+            ends = np.cumsum(per_doc + 1) - 1
+            seq = np.zeros(len(number) + len(docs), np.int64)
+            seq[np.arange(len(number)) + np.repeat(np.arange(len(docs)), per_doc)] = place + 1
+            index = FMIndex.build(seq, len(known) + 1)
+            before = np.concatenate([[0], end[:-1]])
+            before[np.cumsum(per_doc) - per_doc] = 0
+            row = {"numbers": known.tobytes(), **index.parts(), "gaps": _stored(start - before), "sizes": _stored(end - start)}
+            cols = [pa.array([[ids[k] for k in docs.tolist()]], pa.list_(id_type)), pa.array([ends.tolist()], pa.list_(pa.int32())), pa.array([index.n], pa.int32())]
+            return pa.RecordBatch.from_arrays([*cols, *[pa.array([row[c]], pa.binary()) for c in _BYTES]], ["docs", "ends", "n", *_BYTES])
+
         for b in batches:
-            batch_type = b.schema.field(0).type
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if not t:
-                    continue
-                numbers = np.array([get(x, 0) for x in words_of(t)], np.int64)
-                size += len(numbers)
-                starts, ends = _runs(numbers, words)
-                if len(starts):
-                    texts[len(ids)] = t
-                    docs += [(len(ids), int(s), numbers[s:e]) for s, e in zip(starts, ends, strict=True)]
-                    ids.append(i)
-                if size >= SHARD_WORDS:
-                    if docs:
-                        yield from flush()
-                    ids, texts, docs, size = [], {}, [], 0
-        if docs:
-            yield from flush()
+            id_type = b.schema.field(0).type
+            base = len(ids)
+            ids += b.column(0).to_pylist()
+            for number, start, end, owner in W.words(b.column(1).to_pylist()):
+                # a shard may end between two documents only
+                if held >= SHARD_WORDS and len(owner) and owner[0] + base != parts[-1][3][-1]:
+                    yield flush()
+                    parts, held = [], 0
+                if len(number):
+                    parts.append((number, start, end, owner + base))
+                    held += len(number)
+            if not parts:
+                ids = []
+        if parts:
+            yield flush()
 
     return documents.select(doc_id, text).mapInArrow(run, schema)
 
 
-def _merge(places: list[int], words: int, bounds: list, length: int) -> list[dict]:
-    """Character ranges of the merged word ranges that start at ``places``."""
-    out: list[list[int]] = []
-    for p in places:
-        if out and p <= out[-1][1]:
-            out[-1][1] = p + words
-        else:
-            out.append([p, p + words])
-    last = len(bounds)
-    return [{"start": bounds[min(a, last - 1)][0], "end": bounds[min(b, last) - 1][1]} for a, b in out] if last else [{"start": 0, "end": length}]
+class Phrases:
+    """The distinct runs of ``words`` words of some items as rows of word numbers, and which items hold each."""
+
+    def __init__(self, items: list[tuple[int, str | None]], words: int):
+        rows, owner = [np.zeros((0, words), np.uint64)], [np.zeros(0, np.int64)]
+        for number, _, _, text in _by_text([t for _, t in items]):
+            if len(number) >= words:
+                rows.append(np.lib.stride_tricks.sliding_window_view(number, words))
+                owner.append(np.full(len(number) - words + 1, text))
+        grams, holder = np.concatenate(rows), np.concatenate(owner)
+        self.rows, which = np.unique(grams, axis=0, return_inverse=True)
+        # the phrases of each item
+        pairs = np.unique(np.stack([holder, which.ravel()], axis=1), axis=0) if len(holder) else np.zeros((0, 2), np.int64)
+        cut = np.flatnonzero(np.diff(pairs[:, 0], prepend=-1))
+        self.items = [(items[int(k)][0], p) for k, p in zip(pairs[cut, 0], np.split(pairs[:, 1], cut[1:]), strict=True)] if len(pairs) else []
+
+
+def _by_text(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Number, start and end of each text's words, text by text."""
+    parts = list(W.words(texts))
+    if not parts:
+        return
+    number, start, end, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
+    cut = np.flatnonzero(np.diff(owner, prepend=-1))
+    for a, b in zip(cut, [*cut[1:], len(owner)], strict=True):
+        yield number[a:b], start[a:b], end[a:b], int(owner[a])
+
+
+def _hits(shard: dict, phrases: Phrases, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of each item found in a shard: item, and document index, first and last word of the merged occurrences."""
+    known = np.frombuffer(shard["numbers"], np.uint64)
+    place = np.searchsorted(known, phrases.rows)
+    there = (known[np.minimum(place, len(known) - 1)] == phrases.rows).all(axis=1)
+    tried = np.flatnonzero(there)
+    if not len(tried):
+        return
+    index = FMIndex.load(shard["n"], *[shard[c] for c in ("levels", "counts", "marks", "samples")])
+    low, high = index.search(place[tried].astype(np.int64) + 1)
+    n = high - low
+    if not n.any():
+        return
+    # a place starts one phrase at most, so all occurrences fit beside the index
+    first = np.zeros(len(phrases.rows) + 1, np.int64)
+    first[tried + 1] = n
+    first = np.cumsum(first)
+    at = index.locate(np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n))
+    ends = np.asarray(shard["ends"], np.int64)
+    for item, own in phrases.items:
+        size = first[own + 1] - first[own]
+        if not size.any():
+            continue
+        p = np.sort(at[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(first[own], size)])
+        new = np.concatenate([[True], np.diff(p) > words])
+        begin, last = p[new], p[np.concatenate([new[1:], [True]])] + words - 1
+        doc = np.searchsorted(ends, begin, side="right")
+        # separators are no words
+        yield item, doc, begin - doc, last - doc
+
+
+def search(index: DataFrame, items: DataFrame, item_id: str = "item_id", item_text: str = "text", doc_id: str = "doc_id", words: int = WORDS, spans: bool = True) -> DataFrame:
+    """(doc_id, item_id, spans) of a stored index: what of each item each document holds.
+
+    ``spans`` are the merged character ranges [start, end) of the text to remove; left out if not asked for.
+    """
+    scratch = Scratch(index.sparkSession, "leaks")
+    blocks = _blocks(items, item_id, item_text)
+    if len(blocks) == 1:
+        return _search_block(index, blocks[0](), doc_id, words, spans)[0]
+    names = []
+    for block in blocks:
+        found, sent = _search_block(index, block(), doc_id, words, spans)
+        names.append(f"block{len(names)}")
+        scratch.write(found, names[-1])
+        sent.destroy()
+    return scratch.read(names)
+
+
+def _blocks(items: DataFrame, item_id: str, item_text: str) -> list:
+    """Functions that fetch the items block by block."""
+    rows = items.select(F.col(item_id).alias("_i"), F.col(item_text).alias("_t")).where(F.col(item_text).isNotNull())
+    size = rows.agg(F.sum(F.octet_length("_t"))).first()[0] or 0
+    n = -(-2 * size // MAX_ITEM_BYTES) if size > MAX_ITEM_BYTES else 1
+
+    def fetch(k: int):
+        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("_i"), F.lit(n)) == k)
+        return lambda: [(r[0], r[1]) for r in part.toLocalIterator()]
+
+    return [fetch(k) for k in range(n)]
+
+
+def _search_block(index: DataFrame, items: list, doc_id: str, words: int, spans: bool):
+    sent = index.sparkSession.sparkContext.broadcast(Phrases(items, words))
+    columns = ["docs", "ends", "n", *_BYTES[: None if spans else -2]]
+    kind = index.schema["docs"].dataType.elementType.simpleString()
+    schema = f"{doc_id} {kind}, item_id bigint" + (", spans array<struct<start:int,end:int>>" if spans else "")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = sent.value
+        for b in batches:
+            for k in range(b.num_rows):
+                shard = {c: b.column(i)[k].as_py() for i, c in enumerate(columns) if c != "docs"}
+                docs = b.column(0)[k].values
+                places = None
+                for item, doc, first, last in _hits(shard, phrases, words):
+                    cut = np.flatnonzero(np.diff(doc, prepend=-1))
+                    out = [docs.take(pa.array(doc[cut])), pa.array(np.full(len(cut), item), pa.int64())]
+                    if spans:
+                        places = places or _places(shard)
+                        pair = pa.StructArray.from_arrays([pa.array(places[0][first], pa.int32()), pa.array(places[1][last], pa.int32())], ["start", "end"])
+                        out.append(pa.ListArray.from_arrays(pa.array(np.append(cut, len(doc)), pa.int32()), pair))
+                    yield pa.RecordBatch.from_arrays(out, [doc_id, "item_id", "spans"][: len(out)])
+
+    return index.select(*columns).mapInArrow(run, schema), sent
+
+
+def _places(shard: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of every word of a shard in its document's text."""
+    gaps, sizes = _restored(shard["gaps"]), _restored(shard["sizes"])
+    end = np.cumsum(gaps + sizes)
+    per_doc = np.diff(np.asarray(shard["ends"], np.int64), prepend=-1) - 1
+    first = np.cumsum(per_doc) - per_doc
+    end = end - np.repeat(end[first] - gaps[first] - sizes[first], per_doc)
+    return end - sizes, end
+
+
+def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", words: int = WORDS, spans: bool = True) -> DataFrame:
+    """``build_index``, written once, and ``search``."""
+    index = Scratch(documents.sparkSession, "fmindex").write(build_index(documents, doc_id, text), "index", row_group=ROW_GROUP)
+    return search(index, items, item_id, item_text, doc_id, words, spans)
