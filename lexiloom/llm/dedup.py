@@ -6,11 +6,15 @@ hashes seen again; per filter segment the partitions' parts are merged, where wh
 partitions both have seen becomes *seen again*.  Only records whose hash may have been
 seen again are shuffled, by their full key, for exact grouping; all others are singletons.
 
-A filter takes ``BITS_PER_RECORD`` bits per record and at most ``MAX_FILTER_BITS``, which
-bounds the broadcast.  More records are cut into slices of the hash space when they are
-written, without a shuffle, and the slices are filtered one after the other, each with a
-broadcast of its own that is dropped again.  Groups above a bounded threshold are joined
-map-side, so no hot group is one task's.
+These filters take ``BITS_PER_RECORD`` bits a record, but lie in segments on the executors.
+What every task gets is the filter of hashes seen again alone, folded to the size that
+the bits set in it ask for: it grows with the repeats, not with the records, and never
+beyond ``MAX_SENT_BITS``.  If repeats are more than that can hold apart, more singletons
+are shuffled with them; no record is lost and no pass repeated.
+
+Keys are grouped by their SHA-256 digest, so what is shuffled and sent is small however
+long the texts are.  Groups above a bounded threshold are joined map-side, so no hot group
+is one task's.
 
 Defined results: null differs from every text; in one key field, texts that hold no
 letter or digit agree with each other; exact repeats count as copies.
@@ -23,7 +27,6 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +34,11 @@ from lexiloom.functions.unicode import letters_digits_key
 from lexiloom.session import Scratch
 
 BITS_PER_RECORD = 16
-MAX_FILTER_BITS = 1 << 31
 MIN_FILTER_BITS = 1 << 18
-#: Bits of one segment, the unit in which filters are merged.
-SEGMENT_BITS = 1 << 18
+#: Bits of the folded filter that is sent to every task, at most, and per bit set in it, at least, up to that.
+MAX_SENT_BITS, ROOM = 1 << 30, 4
+#: Segments, the units in which filters are merged, have at least so many bits; there are at most so many of them.
+LEAST_SEGMENT_BITS, MAX_SEGMENTS = 1 << 18, 1 << 14
 #: A record's bits lie in one block.
 BLOCK_BITS = 512
 PROBES = 4
@@ -42,18 +46,29 @@ PROBES = 4
 MAX_HOT = 1_000
 MIN_HOT_ROWS = 10_000
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def power_of_two(n: int) -> int:
+    return 1 << max(0, n - 1).bit_length()
+
 
 def filter_bits(records: int) -> int:
-    want = max(MIN_FILTER_BITS, min(MAX_FILTER_BITS, records * BITS_PER_RECORD))
-    return 1 << (want - 1).bit_length()
+    return power_of_two(max(MIN_FILTER_BITS, records * BITS_PER_RECORD))
+
+
+def segment_bits(bits: int) -> int:
+    return max(LEAST_SEGMENT_BITS, bits // MAX_SEGMENTS)
 
 
 def positions(hashes: np.ndarray, bits: int) -> np.ndarray:
-    """The ``PROBES`` bit positions of each hash, one row per hash."""
+    """The ``PROBES`` bit positions of each hash, one row per hash.
+
+    Those of a filter of half the bits are the same modulo its size, so filters can be folded.
+    """
     h = hashes.view(np.uint64)
-    blocks = np.uint64(bits // BLOCK_BITS)
-    # the high half picks the block, nine bits each of the low half the bits within
-    start = ((h >> np.uint64(36)) % blocks) * np.uint64(BLOCK_BITS)
+    # the mixed hash picks the block, nine bits each of the low half the bits within
+    start = (((h * _MIX) >> np.uint64(16)) & np.uint64(bits // BLOCK_BITS - 1)) * np.uint64(BLOCK_BITS)
     within = [(h >> np.uint64(9 * j)) & np.uint64(BLOCK_BITS - 1) for j in range(PROBES)]
     return np.stack([start + w for w in within], axis=1)
 
@@ -73,6 +88,7 @@ def _unpack(data: bytes) -> np.ndarray:
 
 def partition_filters(hashes: DataFrame, column: str, bits: int) -> DataFrame:
     """Per partition and segment the bits of hashes seen and of hashes seen again."""
+    wide = segment_bits(bits)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b.column(0).to_numpy(zero_copy_only=False).astype(np.int64) for b in batches if b.num_rows]
@@ -83,11 +99,11 @@ def partition_filters(hashes: DataFrame, column: str, bits: int) -> DataFrame:
         parts = []
         for h in (unique, unique[n > 1]):
             p = np.unique(positions(h, bits).ravel()).astype(np.int64)
-            cut = np.searchsorted(p, np.arange(0, bits + 1, SEGMENT_BITS))
+            cut = np.searchsorted(p, np.arange(0, bits + 1, wide))
             parts.append((p, cut))
         out: dict[str, list] = {"segment": [], "once": [], "again": []}
-        for s in range(bits // SEGMENT_BITS):
-            once, again = (p[cut[s] : cut[s + 1]] - s * SEGMENT_BITS for p, cut in parts)
+        for s in range(bits // wide):
+            once, again = (p[cut[s] : cut[s + 1]] - s * wide for p, cut in parts)
             if len(once):
                 out["segment"].append(s)
                 out["once"].append(_pack(once))
@@ -97,45 +113,67 @@ def partition_filters(hashes: DataFrame, column: str, bits: int) -> DataFrame:
     return hashes.select(column).mapInArrow(build, "segment int, once binary, again binary")
 
 
-def merged_again(parts: DataFrame) -> DataFrame:
-    """(segment, again): the merged filter of hashes seen again, as compressed positions."""
+def _segment_row(segment: int, bits: np.ndarray) -> pa.Table:
+    pos = np.flatnonzero(bits)
+    keep = [(segment, len(pos), _pack(pos))] if len(pos) else []
+    return pa.table({"segment": pa.array([k for k, _, _ in keep], pa.int32()), "n": pa.array([n for _, n, _ in keep], pa.int64()), "again": pa.array([v for _, _, v in keep], pa.binary())})
+
+
+def merged_again(parts: DataFrame, bits: int) -> DataFrame:
+    """(segment, n, again): the merged filter of hashes seen again, as compressed positions and their number."""
+    wide = segment_bits(bits)
 
     def merge(t: pa.Table) -> pa.Table:
-        once, again = np.zeros(SEGMENT_BITS, bool), np.zeros(SEGMENT_BITS, bool)
+        once, again = np.zeros(wide, bool), np.zeros(wide, bool)
         for row in zip(t.column("once"), t.column("again"), strict=True):
             new = _unpack(row[0].as_py())
             again[new[once[new]]] = True
             once[new] = True
             if row[1].is_valid:
                 again[_unpack(row[1].as_py())] = True
-        pos = np.flatnonzero(again)
-        keep = [(t.column("segment")[0].as_py(), _pack(pos))] if len(pos) else []
-        return pa.table({"segment": pa.array([k for k, _ in keep], pa.int32()), "again": pa.array([v for _, v in keep], pa.binary())})
+        return _segment_row(t.column("segment")[0].as_py(), again)
+
+    return parts.groupBy("segment").applyInArrow(merge, "segment int, n bigint, again binary")
+
+
+def folded(merged: DataFrame, wide: int, sent_bits: int) -> DataFrame:
+    """The merged filter's segments laid over each other until ``sent_bits`` are left."""
+
+    def fold(t: pa.Table) -> pa.Table:
+        again = np.zeros(wide, bool)
+        for row in t.column("again"):
+            again[_unpack(row.as_py())] = True
+        return _segment_row(t.column("to")[0].as_py(), again)
 
-    return parts.groupBy("segment").applyInArrow(merge, "segment int, again binary")
+    return merged.withColumn("to", F.expr(f"segment % {sent_bits // wide}")).groupBy("to").applyInArrow(fold, "segment int, n bigint, again binary")
 
 
-def possible_repeats(keyed: DataFrame, column: str, records: int) -> tuple[DataFrame, Broadcast]:
-    """``keyed`` with ``_maybe``: false only if no other record has the same hash; and the filter sent for it."""
+def possible_repeats(keyed: DataFrame, column: str, records: int, scratch: Scratch) -> DataFrame:
+    """``keyed`` with ``_maybe``: false only if no other record has the same hash."""
     bits = filter_bits(records)
-    merged = merged_again(partition_filters(keyed, column, bits)).collect()  # at most MAX_FILTER_BITS / 8 bytes
-    sent = keyed.sparkSession.sparkContext.broadcast([(r["segment"], bytes(r["again"])) for r in merged])
+    wide = segment_bits(bits)
+    merged = scratch.write(merged_again(partition_filters(keyed, column, bits), bits), "again")
+    full = merged.agg(F.sum("n")).first()[0] or 0
+    sent_bits = max(wide, min(bits, MAX_SENT_BITS, power_of_two(full * ROOM)))
+    rows = (merged if sent_bits == bits else folded(merged, wide, sent_bits)).collect()  # at most MAX_SENT_BITS / 8 bytes
+    sent = keyed.sparkSession.sparkContext.broadcast([(r["segment"], bytes(r["again"])) for r in rows])
+    scratch.drop("again")
     state: dict = {}
 
     @F.pandas_udf("boolean")
     def maybe(h: pd.Series) -> pd.Series:
         if "map" not in state:
-            packed = np.zeros(bits // 8, np.uint8)
+            packed = np.zeros(sent_bits // 8, np.uint8)
             for s, data in sent.value:
-                bit = np.zeros(SEGMENT_BITS, bool)
+                bit = np.zeros(wide, bool)
                 bit[_unpack(data)] = True
-                packed[s * SEGMENT_BITS // 8 : (s + 1) * SEGMENT_BITS // 8] = np.packbits(bit, bitorder="little")
+                packed[s * wide // 8 : (s + 1) * wide // 8] = np.packbits(bit, bitorder="little")
             state["map"] = packed
-        p = positions(h.to_numpy(np.int64), bits)
+        p = positions(h.to_numpy(np.int64), sent_bits)
         seen = (state["map"][p >> np.uint64(3)] >> (p & np.uint64(7)).astype(np.uint8)) & 1
         return pd.Series(seen.all(axis=1))
 
-    return keyed.withColumn("_maybe", maybe(F.col(column))), sent
+    return keyed.withColumn("_maybe", maybe(F.col(column)))
 
 
 def canonical_key(texts: list[str], exact: list[str]):
@@ -151,28 +189,10 @@ class Repeats:
     def __init__(self, records: DataFrame, id_col: str, texts: list[str], exact: list[str], carry: list[str] | None = None):
         self.scratch = Scratch(records.sparkSession, "repeats")
         self.carry = carry or []
-        rows = records.select(F.col(id_col).alias("_id"), canonical_key(texts, exact).alias("_key"), *self.carry)
-        rows = rows.withColumn("_hash", F.xxhash64("_key"))
-        self.count = records.count()
-        self.slices = max(1, -(-self.count * BITS_PER_RECORD // MAX_FILTER_BITS))
-        self.split = self._one(rows) if self.slices == 1 else self._sliced(rows)
-
-    def _one(self, rows: DataFrame) -> DataFrame:
-        return possible_repeats(self.scratch.write(rows, "keyed"), "_hash", self.count)[0]
-
-    def _sliced(self, rows: DataFrame) -> DataFrame:
-        """Slices are folders of one table, each replaced by its filtered rows in turn."""
-        place = F.pmod(F.xxhash64(F.lit(1), F.col("_hash")), F.lit(self.slices)).cast("int")
-        keyed = self.scratch.write(rows.withColumn("_slice", place), "keyed", by="_slice")
-        names = []
-        for s in range(self.slices):
-            part = keyed.where(F.col("_slice") == s).drop("_slice")
-            marked, sent = possible_repeats(part, "_hash", -(-self.count // self.slices))
-            names.append(f"split{s}")
-            self.scratch.write(marked, names[-1])
-            sent.destroy()
-            self.scratch.drop(f"keyed/_slice={s}")
-        return self.scratch.read(names)
+        digest = F.unhex(F.sha2(canonical_key(texts, exact), 256))
+        rows = records.select(F.col(id_col).alias("_id"), digest.alias("_key"), *self.carry).withColumn("_hash", F.xxhash64("_key"))
+        keyed, self.count = self.scratch.write_counted(rows, "keyed", "true")
+        self.split = possible_repeats(keyed, "_hash", self.count, self.scratch)
 
     def groups(self) -> DataFrame:
         """(_key, first_id, n) of every key with more than one record."""

@@ -57,15 +57,24 @@ def test_collapsed_counts_everything(spark):
     assert {r["_id"] for r in out if r["n_copies"] > 1} == set(range(40))
 
 
-def test_slices_of_the_hash_space(spark, monkeypatch):
-    monkeypatch.setattr(dedup, "MAX_FILTER_BITS", dedup.MIN_FILTER_BITS)
-    rows = [(i, f"w{i % 30_000}", "r", "f", 1) for i in range(60_000)]
+@pytest.mark.parametrize("sent,segments", [(1 << 18, 1 << 14), (1 << 19, 2), (1 << 30, 2)])
+def test_folded_filter_of_bounded_size(spark, monkeypatch, sent, segments):
+    monkeypatch.setattr(dedup, "MAX_SENT_BITS", sent)
+    monkeypatch.setattr(dedup, "MAX_SEGMENTS", segments)
+    rows = [(i, f"w{i % 90_000}" if i < 120_000 else f"alone{i}", "r", "f", 1) for i in range(150_000)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
     found = dedup.Repeats(df, "record_id", ["original", "regularized", "source_file"], ["pair_index"], ["original"])
-    assert found.slices == 4
-    assert {(r[0], r[1]) for r in found.pairs().collect()} == {(i, i + 30_000) for i in range(30_000)}
+    assert {(r[0], r[1]) for r in found.pairs().collect()} == {(i, i + 90_000) for i in range(30_000)}
     out = found.collapsed()
-    assert out.count() == 30_000 and out.where("n_copies <> 2").count() == 0
+    assert out.count() == 120_000 and out.where("n_copies = 2").count() == 30_000
+    if sent == 1 << 30:  # all in proportion: next to no singleton is shuffled
+        assert found.split.where("_maybe").count() < 61_000
+
+
+def test_long_texts_and_clashing_columns(spark):
+    rows = [(1, "x " * 300_000, "a", "f", 1, "k"), (2, "X-" * 300_000, "A", "F", 1, "k"), (3, "", "", "", 1, None)]
+    df = spark.createDataFrame(rows, SCHEMA + ", n string")
+    assert pairs(df) == {(1, 2)}
 
 
 def test_a_full_filter_loses_no_repeat(spark, monkeypatch):
