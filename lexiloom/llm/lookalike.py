@@ -1,19 +1,26 @@
 """One consistent form for text that looks the same but holds different characters (p1).
 
 Arrow partitions are handed to DuckDB, whose embedded SQL removes invisible
-characters, composes (``nfc_normalize``), maps full-width forms, ligatures and
-look-alike letters (``translate``, ``replace``), repairs letters that lose their dot
-under an accent (``regexp_replace``), composes again and unifies blanks.
+characters, composes (``nfc_normalize``), maps compatibility forms (a map lookup per
+character, for texts that hold any), full-width forms, ligatures and look-alike letters
+(``translate``, ``replace``), repairs letters that lose their dot under an accent
+(``regexp_replace``), composes again and unifies blanks.
 
 Two texts get the same form if and only if the tables below make them look alike.
+Compatibility forms come from the Unicode tables by rule: those that differ in font,
+width, joining or as ligatures, squares and symbol letters look like what they stand for.
+Raised, lowered, circled and fractional ones do not, so they are mapped only if ``loose``
+is asked for; a few that Unicode calls compatible but look otherwise never are.
 Case, accents, breathings, punctuation and final sigma stay.  Defined results: null
 stays null; empty and blank texts give ''; texts of any length are processed whole.
 """
 
 from __future__ import annotations
 
+import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -70,8 +77,54 @@ def mapping() -> tuple[dict[str, str], dict[str, str]]:
     return one, many
 
 
+# Compatible by Unicode, of another look: long s, omega-like pi, lunate sigmas (they look like c).
+OTHER_LOOK = frozenset("ſϖϲϹẛ")
+#: Decompositions that change the look; the others keep it.
+LOOSE_TAGS = frozenset({"<super>", "<sub>", "<circle>", "<fraction>"})
+
+
+@lru_cache(maxsize=2)
+def compatible(loose: bool = False) -> dict[str, str]:
+    """Compatibility forms and what they look like, where ``mapping`` has none."""
+    one, many = mapping()
+    out = {}
+    for code in range(0x80, sys.maxunicode + 1):
+        c = chr(code)
+        tag = unicodedata.decomposition(c).partition(" ")[0]
+        if tag[:1] != "<" or c in one or c in many or c in OTHER_LOOK or (tag in LOOSE_TAGS and not loose):
+            continue
+        plain = unicodedata.normalize("NFKC", c)
+        # spacing accents would become a blank and a mark
+        if " " not in plain and plain != c:
+            out[c] = plain
+    return out
+
+
+def _class(chars: Iterable[str]) -> str:
+    """A bracket expression of ranges."""
+    codes, out = sorted(map(ord, chars)), []
+    for c in codes:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out) + "]"
+
+
+def plain_sql(x: str, loose: bool = False) -> str:
+    """The embedded query that replaces the compatibility forms of column ``x`` of ``batch``, as column ``_x``.
+
+    ``forms`` is a table of the characters; only texts that hold one are taken apart.
+    """
+    return f"""with numbered as (select row_number() over () as _r, * from batch),
+chars as (select _r, c, i from (select _r, unnest(regexp_extract_all({x}, '(?s).')) as c, unnest(range(length({x}) * 4)) as i
+  from numbered where regexp_matches({x}, '{_class(compatible(loose))}')) where c is not null),
+plain as (select _r, string_agg(coalesce(f.plain, c), '' order by i) as p from chars left join forms f using (c) group by 1)
+select n.* exclude (_r), coalesce(p, {x}) as _x from numbered n left join plain using (_r)"""
+
+
 def canonical_sql(x: str) -> str:
-    """The embedded expression over column ``x``."""
+    """The embedded expression over column ``x``, which holds no compatibility forms but the table's own."""
     one, many = mapping()
 
     def q(s: str) -> str:
@@ -96,23 +149,30 @@ def canonical_sql(x: str) -> str:
     return f"trim(regexp_replace({e}, '{BLANKS}', ' ', 'g'))"
 
 
-def canonical(df: DataFrame, keep: list[str], value: str, out: str = "form") -> DataFrame:
+def canonical(df: DataFrame, keep: list[str], value: str, out: str = "form", loose: bool = False) -> DataFrame:
     """``keep`` columns and ``value`` of ``df``, and the value's consistent form as ``out``.
 
     DuckDB runs in each Python worker on one thread, batch by batch, so memory does
     not grow with the partition.
     """
     narrow = df.select(*keep, value)
-    sql = f"select *, {canonical_sql(chr(34) + value + chr(34))} as \"{out}\" from batch"
+    x = '"' + value.replace('"', '""') + '"'
+    some = f"select count(*) from batch where regexp_matches({x}, '{_class(compatible(loose))}')"
+    plain = f"select * exclude (_x), {canonical_sql('_x')} as \"{out}\" from ({plain_sql(x, loose)})"
+    sql = f"select *, {canonical_sql(x)} as \"{out}\" from batch"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
 
         con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        forms = compatible(loose)
+        con.register("given", pa.table({"c": list(forms), "plain": list(forms.values())}))
+        con.execute("create table forms as select * from given")
         for b in batches:
             if b.num_rows:
                 con.register("batch", pa.Table.from_batches([b]))
-                yield from con.sql(sql).to_arrow_table().to_batches()
+                held = con.sql(some).fetchall()[0][0]
+                yield from con.sql(plain if held else sql).to_arrow_table().to_batches()
                 con.unregister("batch")
 
     from pyspark.sql import types as T

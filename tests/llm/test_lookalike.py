@@ -53,3 +53,15 @@ def test_regularise_gives_form_or_text(spark, forms):
     df = spark.createDataFrame([(0, "ὄνoμα", "x"), (1, "ἄλλo", "y"), (2, None, "z")], "id int, v string, looks string")
     got = {r["id"]: (r["known"], r["looks"]) for r in L.regularise(df, ["id"], "v", forms).collect()}
     assert got[0][0] == "ὄνομα" and got[1] == (None, "ἄλλο") and got[2] == (None, None)
+
+
+def test_compatibility_forms(spark):
+    pairs = [("𝐚𝐛", "ab"), ("ϕϑϐϰ", "φθβκ"), ("ｱﾞ", "ア゛".replace("゛", "゙")), ("ℓ", "l"), ("㎏", "kg"), ("ﬆ", "st"), ("𝛼", "α"), ("Ⅻ", "XII"), ("…", "..."), ("ﻻ", "لا")]
+    assert looks(spark, [a for a, _ in pairs]) == looks(spark, [b for _, b in pairs])
+    # of another look: not the same unless asked for
+    raised = ["x²", "①", "ⁿ", "½", "H₂"]
+    assert looks(spark, raised) != looks(spark, ["x2", "1", "n", "1⁄2", "H2"])
+    df = spark.createDataFrame(list(enumerate(raised)), "id int, v string")
+    assert [r["looks"] for r in L.canonical(df, ["id"], "v", "looks", loose=True).orderBy("id").collect()] == looks(spark, ["x2", "1", "n", "1⁄2", "H2"])
+    apart = looks(spark, ["ϲ", "ς", "Ϲ", "Σ", "ſ", "s", "ϖ", "π", "¨", "´"])
+    assert len(set(apart)) == len(apart)
