@@ -9,7 +9,8 @@ few rounds; each round's labels are one written table, earlier ones are dropped.
 Whole components are then assigned to splits, stratified by label: components above a
 size threshold one by one, the rest in hashed buckets per leading label, always to the
 split where the labels' distribution comes closest to its share.  The number of such
-units is bounded by parameters, whatever the data's size.
+units is bounded by parameters, whatever the data's size; on small data each component
+is a unit of its own.
 
 Defined results: files are the same if their paths agree in letters and digits, case
 ignored; every whole number above zero in a papyrus text names one; a record without
@@ -28,11 +29,12 @@ from lexiloom.session import Scratch
 
 #: A component is assigned by itself from this share of all records on.
 BIG_SHARE = 1 / 1000
-BUCKETS = 256
-#: Labels beyond this many most frequent ones are balanced together.
-MAX_LABELS = 32
-#: Rows of one component from which its pairs are salted, and into how many parts.
-HOT_ROWS, SALT = 1_000, 16
+#: Units of the other components, over all labels.
+UNITS = 1 << 16
+#: Labels beyond this many most frequent ones are balanced in as many groups as RARE, by a hash.
+MAX_LABELS, RARE = 1_000, 24
+#: Rows of one split of one component that one task pairs with as many of another.
+PAIRED_ROWS = 1_000
 
 
 def papyri(text: Column) -> Column:
@@ -90,40 +92,64 @@ def component_of(rows: DataFrame, comps: DataFrame, file_col: str, entity_col: s
     return joined.withColumn("component", own).drop("_c", "_f", "_low")
 
 
-def tied_across_splits(results: DataFrame, comps: DataFrame, id_col: str, file_col: str, split_col: str) -> DataFrame:
-    """Pairs of rows of one component with different splits, the smaller id first."""
+def split_rows(results: DataFrame, comps: DataFrame, id_col: str, file_col: str, split_col: str) -> DataFrame:
+    """(id, split, component) of the rows whose component has more than one split."""
     split = F.lower(F.trim(split_col))
     rows = component_of(results.select(F.col(id_col).alias("id"), F.col(file_col).alias("_file"), split.alias("split")).where("split is not null"), comps, "_file")
     rows = rows.where("component is not null").select("id", "split", "component")
-    mixed = rows.groupBy("component").agg(F.count("*").alias("n"), F.min("split").alias("lo"), F.max("split").alias("hi")).where("lo <> hi")
-    rows = rows.join(mixed.select("component", F.when(F.col("n") >= HOT_ROWS, SALT).otherwise(1).alias("salts")), "component")
-    a = rows.select(F.col("id").alias("a"), F.col("split").alias("split_a"), "component", F.pmod(F.xxhash64("id"), F.col("salts")).alias("salt"))
-    b = rows.select(F.col("id").alias("b"), F.col("split").alias("split_b"), "component", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts").cast("bigint") - 1)).alias("salt"))
-    return a.join(b, ["component", "salt"]).where("a < b and split_a <> split_b").select("a", "b")
+    mixed = rows.groupBy("component").agg(F.min("split").alias("lo"), F.max("split").alias("hi")).where("lo <> hi").select("component")
+    return rows.join(mixed, "component", "left_semi")
+
+
+def conflicts(rows: DataFrame) -> DataFrame:
+    """The linear form of the ties: per component of ``split_rows``, named by its smallest id, and split the rows."""
+    by_split = rows.groupBy("component", "split").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    names = by_split.groupBy("component").agg(F.min("low").alias("first_id"))
+    return by_split.join(names, "component").select("first_id", "split", "n")
+
+
+def tied_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b): pairs of ``split_rows`` of one component with unlike splits, the smaller id first.
+
+    Only unlike splits meet, in cells of at most ``PAIRED_ROWS`` rows of each.
+    """
+    parts = rows.groupBy("component", "split").agg(F.ceil(F.count("*") / PAIRED_ROWS).cast("int").alias("n"))
+    left = parts.select("component", F.col("split").alias("split_a"), F.col("n").alias("n_a"))
+    right = parts.select("component", F.col("split").alias("split_b"), F.col("n").alias("n_b"))
+    cells = left.join(right, "component").where("split_a < split_b")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    key = ["component", "split_a", "split_b"]
+    a = rows.withColumnRenamed("split", "split_a").join(cells, ["component", "split_a"]).select(*key, F.col("id").alias("a"), own("n_a").alias("i"), every("n_b").alias("j"))
+    b = rows.withColumnRenamed("split", "split_b").join(cells, ["component", "split_b"]).select(*key, F.col("id").alias("b"), own("n_b").alias("j"), every("n_a").alias("i"))
+    return a.join(b, [*key, "i", "j"]).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def tied_across_splits(results: DataFrame, comps: DataFrame, id_col: str, file_col: str, split_col: str, scratch: Scratch) -> DataFrame:
+    """Pairs of rows of one component with different splits, the smaller id first."""
+    return tied_pairs(scratch.write(split_rows(results, comps, id_col, file_col, split_col), "mixed"))
 
 
 def _assign(units: list, targets: dict[str, float]) -> dict:
     """Greedy: larger units first, each to the split where the squared deviation grows least."""
     names = list(targets)
-    share = np.array([targets[n] for n in names])[:, None]
+    share = np.array([targets[n] for n in names])
     labels = sorted({x for _, hist in units for x in hist})
     place = {x: i for i, x in enumerate(labels)}
-    vectors = np.zeros((len(units), len(labels)))
-    for i, (_, hist) in enumerate(units):
-        for x, n in hist.items():
-            vectors[i, place[x]] = n
-    want = share * vectors.sum(0)[None, :]
+    # the whole size counts as one more label
+    cells = [(np.array([*(place[x] for x in hist), len(labels)]), np.array([*hist.values(), sum(hist.values())], float)) for _, hist in units]
+    whole = np.zeros(len(labels) + 1)
+    for at, n in cells:
+        whole[at] += n
+    want = share[:, None] * whole
     have = np.zeros_like(want)
     scale = 1 / np.maximum(want, 1)
     out = {}
-    for i in sorted(range(len(units)), key=lambda i: (-vectors[i].sum(), str(units[i][0]))):
-        u = vectors[i][None, :]
-        gain = (((have + u - want) ** 2 - (have - want) ** 2) * scale).sum(1)
-        # the whole size counts as one more label
-        t_want, t_have, t = want.sum(1), have.sum(1), u.sum()
-        gain += ((t_have + t - t_want) ** 2 - (t_have - t_want) ** 2) / np.maximum(t_want, 1)
-        k = int(np.argmin(gain))
-        have[k] += u[0]
+    for i in sorted(range(len(units)), key=lambda i: (-cells[i][1][-1], str(units[i][0]))):
+        at, n = cells[i]
+        off = have[:, at] - want[:, at]
+        k = int(np.argmin((((off + n) ** 2 - off**2) * scale[:, at]).sum(1)))
+        have[k, at] += n
         out[units[i][0]] = names[k]
     return out
 
@@ -131,16 +157,18 @@ def _assign(units: list, targets: dict[str, float]) -> dict:
 def assign_splits(sized: DataFrame, targets: dict[str, float]) -> DataFrame:
     """(component, split) from (component, label, n): shares of ``targets`` kept overall and by label.
 
-    What reaches the driver is bounded: at most 1 / BIG_SHARE big components and
-    BUCKETS per label for the others.
+    What reaches the driver is bounded: at most 1 / BIG_SHARE big components and UNITS
+    of others, with the labels they hold.
     """
     spark = sized.sparkSession
     tops = [r["label"] for r in sized.groupBy("label").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "label").limit(MAX_LABELS).collect()]
-    label = F.when(F.col("label").isin(tops), F.col("label")).otherwise("other")
+    buckets = max(1, UNITS // (min(len(tops), MAX_LABELS) + RARE))
+    rare = F.concat(F.lit("rare#"), F.pmod(F.xxhash64("label"), F.lit(RARE)).cast("string"))
+    label = F.when(F.col("label").isNull(), "").when(F.col("label").isin(tops), F.concat(F.lit("="), "label")).otherwise(rare)
     sized = sized.withColumn("label", label).groupBy("component", "label").agg(F.sum("n").alias("n"))
     total = sized.agg(F.sum("n")).first()[0] or 0
     whole = sized.groupBy("component").agg(F.sum("n").alias("size"), F.max_by("label", F.struct("n", "label")).alias("lead"))
-    bucket = F.concat_ws("#", "lead", F.pmod(F.xxhash64("component"), F.lit(BUCKETS)).cast("string"))
+    bucket = F.concat_ws("#", "lead", F.pmod(F.xxhash64("component"), F.lit(buckets)).cast("string"))
     unit = F.when(F.col("size") >= max(1, total * BIG_SHARE), F.concat(F.lit("big#"), "component")).otherwise(bucket)
     placed = whole.select("component", unit.alias("unit"))
     hist: dict[str, dict] = {}

@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
+
 from lexiloom.llm import splits
 from lexiloom.session import Scratch
 
@@ -46,15 +48,16 @@ def test_long_chain_and_random_graph(spark):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, have.values()))
 
 
-def test_pairs_across_splits(spark, monkeypatch):
-    monkeypatch.setattr(splits, "HOT_ROWS", 3)
+@pytest.mark.parametrize("paired", [1, 1000])
+def test_pairs_across_splits(spark, monkeypatch, paired):
+    monkeypatch.setattr(splits, "PAIRED_ROWS", paired)
     recs = spark.createDataFrame([(1, "a", "5"), (2, "b", "5"), (3, "c", "6")], REC)
     comps = splits.components(splits.edges(recs), Scratch(spark, "test"))
     res = spark.createDataFrame(
         [(1, "a", "train"), (2, "b", " TEST"), (3, "A.", "Train "), (4, "c", "dev"), (5, "c", None), (6, "c", "dev"), (7, None, "test"), (8, "zz", "dev"), (9, "z z", "test")],
         "result_id long, source_file string, split string",
     )
-    got = {(r["a"], r["b"]) for r in splits.tied_across_splits(res, comps, "result_id", "source_file", "split").collect()}
+    got = {(r["a"], r["b"]) for r in splits.tied_across_splits(res, comps, "result_id", "source_file", "split", Scratch(spark, "test")).collect()}
     assert got == {(1, 2), (2, 3), (8, 9)}
 
 
@@ -75,6 +78,16 @@ def test_shares_and_balance(spark):
     assert placed["big"] == "train"
 
 
+def test_rare_labels_are_balanced_too(spark, monkeypatch):
+    monkeypatch.setattr(splits, "MAX_LABELS", 5)
+    monkeypatch.setattr(splits, "RARE", 3)
+    rows = [(f"c{i}", f"l{i % 40}", 1) for i in range(4000)] + [("x", None, 3)]
+    placed = {r["component"]: r["split"] for r in splits.assign_splits(spark.createDataFrame(rows, "component string, label string, n long"), {"train": 0.5, "test": 0.5}).collect()}
+    assert len(placed) == 4001
+    n = Counter((lab, placed[c]) for c, lab, _ in rows)
+    assert all(abs(n[f"l{k}", "train"] - 50) <= 15 for k in range(40)) and abs(sum(v == "train" for v in placed.values()) - 2000) < 40
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], REC)
     comps = splits.components(splits.edges(empty), Scratch(spark, "test"))
