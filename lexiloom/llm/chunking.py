@@ -61,7 +61,7 @@ def cut(text: str, enc, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tupl
             yield b
             return
         inner = level_bounds(k)
-        inner = inner[(inner > a) & (inner < b)]
+        inner = inner[np.searchsorted(inner, a, side="right") : np.searchsorted(inner, b)]
         for x, y in zip([a, *inner.tolist()], [*inner.tolist(), b], strict=True):
             yield from units(x, y, k + 1)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexiloom.llm import chunking, mixing
+from lexiloom.llm import chunking, mixing, tokens
 from lexiloom.session import Scratch
 
 
@@ -57,14 +57,38 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p8_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Every text in pieces within the limit; short texts are one piece, untouched."""
+    return _pieces(spark, d).select("doc_id", "piece", "char_start", "char_end", "piece_text")
+
+
+def _pieces(spark: SparkSession, d: str) -> DataFrame:
     docs = _documents(spark, d)
-    cut = chunking.pieces(docs).select("doc_id", "piece", "char_start", "char_end", "piece_text")
+    cut = chunking.pieces(docs).select("doc_id", "piece", "char_start", "new_start", "char_end", "piece_text")
     short = docs.where(F.octet_length("text") <= chunking.LIMIT).where("text <> ''")
-    short = short.select("doc_id", F.lit(0).alias("piece"), F.lit(0).alias("char_start"), F.length("text").alias("char_end"), F.col("text").alias("piece_text"))
+    zero = F.lit(0)
+    short = short.select("doc_id", zero.alias("piece"), zero.alias("char_start"), zero.alias("new_start"), F.length("text").alias("char_end"), F.col("text").alias("piece_text"))
     return cut.unionByName(short)
 
 
-QUERIES = {"p7_mix": p7_mix, "p7_shares": p7_shares, "p7_rates": p7_rates, "p7_mix_by_chars": p7_mix_by_chars, "p7_shares_by_chars": p7_shares_by_chars, "p8_found": p8_found, "p8_pieces": p8_pieces}
+def p8_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Each text's digest, of what its pieces give back without their overlaps."""
+    new = _pieces(spark, d).select("doc_id", F.struct("piece", F.expr("substring(piece_text, new_start - char_start + 1)").alias("new")).alias("part"))
+    # as much as one text
+    parts = new.groupBy("doc_id").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.count("*").alias("n"))
+    return parts.select("doc_id", F.md5(F.array_join(F.transform("parts", lambda x: x["new"]), "")).alias("digest"))
+
+
+def p8_faults(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces with too many tokens, or that do not repeat the last ones of the piece before, counted anew; there must be none.
+
+    Encoded alone, a repeated part may join its first characters otherwise than in the text, hence the few tokens of play.
+    """
+    p = _pieces(spark, d).withColumn("again", F.expr("substring(piece_text, 1, new_start - char_start)")).drop("new_start")
+    sized = tokens.with_token_counts(p.select("doc_id", "piece", "again", "piece_text"), ["doc_id", "piece", "again"], "piece_text", "n_tokens")
+    both = tokens.with_token_counts(sized, ["doc_id", "piece", "n_tokens"], "again", "n_again")
+    return both.where(f"n_tokens > {chunking.LIMIT} or (piece > 0 and n_again not between {chunking.OVERLAP - 4} and {chunking.OVERLAP + 7})")
+
+
+QUERIES = {"p7_mix": p7_mix, "p7_shares": p7_shares, "p7_rates": p7_rates, "p7_mix_by_chars": p7_mix_by_chars, "p7_shares_by_chars": p7_shares_by_chars, "p8_found": p8_found, "p8_pieces": p8_pieces, "p8_restored": p8_restored, "p8_faults": p8_faults}
 
 # The level of the water is found by bisection here, the operator has it in closed form.
 _RATES = """with recursive a as (select source, sum(n_chars)::double as tokens, count(*) as documents from documents group by 1),
@@ -81,6 +105,9 @@ x as (select doc_id, source, n_chars, floor(rate)::int + (('0x' || substr(md5('S
 mixed as (select doc_id, source, n_chars, unnest(range(1, n + 1))::int as copy from x where n > 0)
 """.replace("SEED", str(mixing.SEED))
 ORACLE_SQL = {
+    "p8_restored": "select doc_id, md5(text) as digest from documents where text <> ''",
+    # what must not be
+    "p8_faults": "select doc_id, 0 as piece, 0::bigint as n_tokens, 0::bigint as n_again from documents where false",
     "p7_mix_by_chars": _RATES + "select doc_id, source, n_chars, copy from mixed",
     "p7_shares_by_chars": _RATES + """, g as (select source, count(*) as used, sum(n_chars)::bigint as used_tokens, max(copy) as most_repeats from mixed group by 1)
 select source, target_share, max_repeats, tokens::bigint as tokens, documents, round(share, 9) as share, round(rate, 9) as rate, coalesce(used, 0) as used, coalesce(used_tokens, 0) as used_tokens,
