@@ -1,14 +1,16 @@
 """Parent-child links turned into full hierarchies by tree contraction.
 
-Forward, two steps alternate until nothing but roots and rings is left:
+Forward, each round takes off two kinds of nodes, until nothing but roots and rings is left:
 
 * *rake*: every node without children is taken off and recorded with its link;
-* *compress*: on unary chains an independent set of nodes (local minima of a hash)
-  is spliced out; the child's link then leads past them and remembers them.
+* *compress*: on unary chains an independent set of nodes (a hash's coin shows 1 for the
+  node and 0 for its parent) is spliced out; the child's link then leads past them and
+  remembers them.
 
-Either step takes off a constant share of what is left, so the number of rounds is
+A round takes off a constant share of what is left, so the number of rounds is
 logarithmic in the nodes, also for one long chain.  A ring never ends by raking; its
 chain compresses to one node that is its own parent: the core that exposes the cycle.
+At most ``FINISH`` nodes that are left are finished in one pass of one task.
 Backward, the records are replayed: each node's base (root or ring entry), depth and
 path follow from those of the node its recorded link leads to.
 
@@ -22,14 +24,19 @@ ring has no root and no depth.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexiloom.functions.unicode import trim_blank
 from lexiloom.session import Scratch
 
-#: Copies of each ring's member list in the last join, so that no ring is one task's.
-RING_SALT = 16
+#: Nodes that still have a parent from which on one task finishes.
+FINISH = 4_096
+#: Members of a ring, and nodes that hang on it, that one task pairs.
+RING_CELL = 1_000
 
 _LINK = "v string, p string, w int, via array<string>"
 
@@ -57,69 +64,94 @@ def contract(links: DataFrame, scratch: Scratch) -> dict:
         "v", F.col("_known").alias("p"), F.lit(1).alias("w"), F.expr("cast(array() as array<string>)").alias("via"), F.lit(True).alias("kept")
     )
     out, left = scratch.write_counted(start, "active0", more)
-    active = out.drop("kept")
     records: list[str] = []
     while left:
-        for step in (_rake, _compress):
-            records.append(f"round{len(records) + 1}")
-            out, left = scratch.write_counted(step(active, len(records)), records[-1], more)
-            active = out.where("kept").select("v", "p", "w", "via")
-    return {"core": active, "records": records}
-
-
-def _children(active: DataFrame) -> DataFrame:
-    return active.where("p is not null").groupBy(F.col("p").alias("_v")).agg(F.count("*").alias("n"), F.min("v").alias("kid"))
-
-
-def _rake(active: DataFrame, turn: int) -> DataFrame:
-    kids = _children(active)
-    return active.join(kids, F.col("v") == F.col("_v"), "left").select(
-        "v", "p", "w", "via", (F.col("n").isNotNull() | F.col("p").isNull() | (F.col("p") == F.col("v"))).alias("kept")
+        active = out.where("kept").drop("kept")
+        step = _finish(active) if left <= FINISH else _round(active, len(records))
+        records.append(f"round{len(records) + 1}")
+        out, left = scratch.write_counted(step, records[-1], more)
+    return {"core": out.where("kept").drop("kept"), "records": records}
+
+
+def _coin(v: str, turn: int) -> Column:
+    return F.xxhash64(F.col(v), F.lit(turn)) % 2 != 0
+
+
+def _round(active: DataFrame, turn: int) -> DataFrame:
+    """One rake and one compression; what is taken off has ``kept`` false and keeps its link to a node that stays."""
+    kids = active.where("p is not null").groupBy(F.col("p").alias("_v")).agg(F.count("*").alias("n"))
+    has_parent = F.col("p").isNotNull() & (F.col("p") != F.col("v"))
+    state = active.join(kids, F.col("v") == F.col("_v"), "left").select(
+        "v", "p", "w", "via",
+        (F.col("n").isNull() & has_parent).alias("leaf"),
+        F.coalesce((F.col("n") == 1) & has_parent & _coin("v", turn) & ~_coin("p", turn), F.lit(False)).alias("gone"),
+    )
+    past = state.where("gone").select(F.col("v").alias("s"), F.col("p").alias("s_p"), F.col("w").alias("s_w"), F.col("via").alias("s_via"))
+    # a node is never spliced together with its parent, so links lead past one node at most
+    led = F.col("s").isNotNull()
+    return state.join(past, F.col("p") == F.col("s"), "left").select(
+        "v",
+        F.coalesce("s_p", "p").alias("p"),
+        F.when(led, F.col("w") + F.col("s_w")).otherwise(F.col("w")).alias("w"),
+        F.when(led, F.concat("via", F.array("s"), "s_via")).otherwise(F.col("via")).alias("via"),
+        (~F.col("leaf") & ~F.col("gone")).alias("kept"),
     )
 
 
-def _compress(active: DataFrame, turn: int) -> DataFrame:
-    kids = _children(active).where("n = 1")
-    unary = active.where("p is not null and p <> v").join(kids, F.col("v") == F.col("_v")).select("v", "p", "w", "via", "kid").withColumn(
-        "rank", F.struct(F.xxhash64(F.col("v"), F.lit(turn)), F.col("v"))
-    )
-    other = unary.select(F.col("v").alias("o"), F.col("rank").alias("o_rank"))
-    low = (
-        unary.join(other.select(F.col("o").alias("up"), F.col("o_rank").alias("up_rank")), F.col("p") == F.col("up"), "left")
-        .join(other.select(F.col("o").alias("down"), F.col("o_rank").alias("down_rank")), F.col("kid") == F.col("down"), "left")
-        .where("(up_rank is null or rank < up_rank) and (down_rank is null or rank < down_rank)")
-        .select(F.col("v").alias("s"), F.col("p").alias("s_p"), F.col("w").alias("s_w"), F.col("via").alias("s_via"), "kid")
-    )
-    gone = low.select(F.col("s").alias("g"))
-    past = low.select(F.col("kid").alias("k"), "s", "s_p", "s_w", "s_via")
-    return (
-        active.join(gone, F.col("v") == F.col("g"), "left")
-        .join(past, F.col("v") == F.col("k"), "left")
-        .select(
-            "v",
-            F.when(F.col("k").isNotNull() & F.col("g").isNull(), F.col("s_p")).otherwise(F.col("p")).alias("p"),
-            F.when(F.col("k").isNotNull() & F.col("g").isNull(), F.col("w") + F.col("s_w")).otherwise(F.col("w")).alias("w"),
-            F.when(F.col("k").isNotNull() & F.col("g").isNull(), F.concat("via", F.array("s"), "s_via")).otherwise(F.col("via")).alias("via"),
-            F.col("g").isNull().alias("kept"),
-        )
-    )
+def _finish(active: DataFrame) -> DataFrame:
+    """The last nodes in one task: every link leads to a node that has none, or around its ring.
+
+    A ring gives one core, its own parent, and drops its other members, as contraction does.
+    """
+    rest = active.where("p is null or p = v").withColumn("kept", F.lit(True))
+    few = active.where("p is not null and p <> v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in b.to_pylist()]
+        link = {r["v"]: (r["p"], r["w"], r["via"]) for r in rows}
+        done: dict[str, tuple[str, int, list[str]]] = {}  # node: where its way ends, how far, what lies between
+        cores: list[dict] = []
+        for first in link:
+            way, seen, at = [], set(), first
+            while at in link and at not in done and at not in seen:
+                seen.add(at)
+                way.append(at)
+                at = link[at][0]
+            if at in seen:  # a ring, entered at ``at``
+                ring = way[way.index(at) :]
+                between = [x for m in ring for x in (m, *link[m][2])]
+                cores.append({"v": at, "p": at, "w": sum(link[m][1] for m in ring), "via": between[1:], "kept": True})
+                done.update({m: (m, 0, []) for m in ring})
+                way = way[: len(way) - len(ring)]
+            for v in reversed(way):
+                p, w, via = link[v]
+                if p in done and done[p][1]:
+                    end, far, between = done[p]
+                    done[v] = (end, w + far, [*via, p, *between])
+                else:
+                    done[v] = (p, w, list(via))
+        out = cores + [{"v": v, "p": p, "w": w, "via": via, "kept": False} for v, (p, w, via) in done.items() if w]
+        if out:
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("v", pa.string()), ("p", pa.string()), ("w", pa.int32()), ("via", pa.list_(pa.string())), ("kept", pa.bool_())]))
+
+    return few.coalesce(1).mapInArrow(run, _LINK + ", kept boolean").unionByName(rest)
 
 
 def expand(parts: dict, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Replay the contractions.  Returns nodes (v, base, on_ring, depth, path) and rings (ring, members).
+    """Replay the contractions.  Returns nodes (v, base, on_ring, depth, path) and rings (ring, pos, v, n).
 
-    ``path`` leads from the base to the node; ``depth`` counts its steps.  ``members`` lists
-    a ring so that each member's parent is the next one, the last one's the first.
+    ``path`` leads from the base to the node; ``depth`` counts its steps.  A ring's n members
+    stand in such order that each one's parent is the next, the last one's the first.
     """
     core = parts["core"]
-    rings = scratch.write(core.where("p = v").select(F.col("v").alias("ring"), F.concat(F.array("v"), "via").alias("members")), "rings")
-    on_ring = rings.select(F.explode("members").alias("v"))
-    start = core.where("p is null").select("v", F.lit(False).alias("on_ring")).unionByName(on_ring.select("v", F.lit(True).alias("on_ring")))
+    members = core.where("p = v").select(F.col("v").alias("ring"), F.concat(F.array("v"), "via").alias("members"))
+    rings = scratch.write(members.select("ring", F.size("members").alias("n"), F.posexplode("members").alias("pos", "v")), "rings")
+    start = core.where("p is null").select("v", F.lit(False).alias("on_ring")).unionByName(rings.select("v", F.lit(True).alias("on_ring")))
     scratch.write(start.select("v", F.col("v").alias("base"), "on_ring", F.lit(0).alias("depth"), F.array("v").alias("path")), "info0")
     done = ["info0"]
     for k, name in enumerate(reversed(parts["records"]), 1):
         taken = scratch.read([name]).where("not kept").select("v", "p", "w", "via")
-        taken = taken.join(on_ring.select(F.col("v").alias("_r")), F.col("v") == F.col("_r"), "left_anti")
+        taken = taken.join(rings.select(F.col("v").alias("_r")), F.col("v") == F.col("_r"), "left_anti")
         info = scratch.read(done).select(F.col("v").alias("_p"), "base", "on_ring", "depth", "path")
         more = taken.join(info, F.col("p") == F.col("_p")).select(
             "v",
@@ -146,21 +178,22 @@ def ancestor_pairs(nodes: DataFrame, rings: DataFrame) -> DataFrame:
     """(ancestor_id, descendant_id, steps): each ancestor reached, with the fewest steps."""
     tree = nodes.where("depth > 0").select(F.col("v"), "depth", F.posexplode(F.slice("path", F.lit(1), F.col("depth"))))
     up = tree.select(F.col("col").alias("ancestor_id"), F.col("v").alias("descendant_id"), (F.col("depth") - F.col("pos")).cast("int").alias("steps"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(RING_SALT - 1)))
-    places = rings.select("ring", "members", F.posexplode("members").alias("pos", "entry")).withColumn("salt", salts)
     # a node's entry into its ring is its base
-    hung = nodes.where("on_ring").select("v", "base", "depth", F.pmod(F.xxhash64("v"), F.lit(RING_SALT)).cast("int").alias("salt"))
+    entry = rings.select(F.col("v").alias("base"), "ring", "n", F.col("pos").alias("entry"))
+    hung = nodes.where("on_ring").select("v", "base", "depth").join(entry, "base")
+    # members and hung nodes meet in cells of bounded size
+    cells = hung.groupBy("ring").agg(F.ceil(F.count("*") / RING_CELL).cast("int").alias("rows"), F.ceil(F.max("n") / RING_CELL).cast("int").alias("columns"))
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    a = hung.join(cells, "ring").select("ring", "v", "depth", "n", "entry", F.pmod(F.xxhash64("v"), F.col("rows")).cast("int").alias("i"), every("columns").alias("j"))
+    b = rings.join(cells, "ring").select("ring", F.col("v").alias("m"), "pos", (F.col("pos") % F.col("columns")).alias("j"), every("rows").alias("i"))
     # the entry itself is its own ancestor only for nodes on the ring; others have it in their path
-    last = F.size("members") - F.when(F.col("depth") == 0, 0).otherwise(1)
-    around = (
-        hung.join(places.select("ring", "members", "pos", F.col("entry").alias("base"), "salt"), ["base", "salt"])
-        .where(last >= 1)
-        .select("v", "depth", "members", "pos", F.explode(F.sequence(F.lit(1), last)).alias("k"))
-        .select(
-            F.element_at("members", (F.pmod(F.col("pos") + F.col("k"), F.size("members")) + 1).cast("int")).alias("ancestor_id"),
-            F.col("v").alias("descendant_id"),
-            (F.col("depth") + F.col("k")).cast("int").alias("steps"),
-        )
+    on = F.col("depth") == 0
+    ahead = F.pmod(F.col("pos") - F.col("entry"), F.col("n"))
+    around = a.join(b, ["ring", "i", "j"]).where(on | (F.col("pos") != F.col("entry")))
+    around = around.select(
+        F.col("m").alias("ancestor_id"),
+        F.col("v").alias("descendant_id"),
+        F.when(on & (ahead == 0), F.col("n")).otherwise(F.col("depth") + ahead).cast("int").alias("steps"),
     )
     return up.unionByName(around)
 

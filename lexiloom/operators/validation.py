@@ -66,7 +66,7 @@ def catalogue(rules: DataFrame, dialects: DataFrame, glossary: DataFrame, rings:
         dangling(glossary, "word", F.col("rule_id"), rules, "id", "unknown_rule"),
     ]
     if rings is not None:
-        parts.append(rings.select(F.explode("members").alias("subject"), F.lit("cycle").alias("reason")))
+        parts.append(rings.select(F.col("v").alias("subject"), F.lit("cycle").alias("reason")))
     return reduce(DataFrame.unionByName, parts)
 
 

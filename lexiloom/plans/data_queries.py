@@ -101,7 +101,8 @@ def p4_hierarchy(spark: SparkSession, d: str) -> DataFrame:
 def p4_cycles(spark: SparkSession, d: str) -> DataFrame:
     """The dialects that lie on a ring, with the ring's size."""
     _, _, rings = _dialects(spark, d)
-    return rings.select(F.explode("members").alias("id"), F.array_min("members").alias("ring"), F.size("members").alias("ring_size"))
+    names = rings.groupBy("ring").agg(F.min("v").alias("name"))
+    return rings.join(names, "ring").select(F.col("v").alias("id"), F.col("name").alias("ring"), F.col("n").alias("ring_size"))
 
 
 QUERIES = {

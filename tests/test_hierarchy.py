@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from lexiloom.operators import hierarchy as H
 
 SCHEMA = "row_id long, id string, parent string, loaded_at int, dialect_group string, w string"
@@ -11,7 +13,7 @@ def run(spark, rows):
     return (
         {(r[0], r[1]): r[2] for r in H.ancestor_pairs(nodes, rings).collect()},
         {r["id"]: r for r in H.described(links, nodes).collect()},
-        {m for r in rings.collect() for m in r["members"]},
+        {r["v"] for r in rings.collect()},
     )
 
 
@@ -49,9 +51,13 @@ def test_rings(spark):
     assert about["v"]["root"] is None and about["v"]["cycle_entry"] == "q" and about["q"]["on_cycle"] and not about["u"]["on_cycle"]
 
 
-def test_random_forest_with_rings_and_long_chain(spark):
+@pytest.mark.parametrize("finish,cell", [(0, 1000), (0, 7), (100, 3), (4096, 1000)])
+def test_random_forest_with_rings_and_long_chain(spark, monkeypatch, finish, cell):
+    monkeypatch.setattr(H, "FINISH", finish)
+    monkeypatch.setattr(H, "RING_CELL", cell)
     rng = random.Random(4)
     parent = {f"n{i}": (f"n{rng.randrange(150)}" if rng.random() < 0.9 else None) for i in range(150)}
+    parent.update({f"r{i}": f"r{(i + 1) % 25}" for i in range(25)})
     parent.update({f"k{i}": f"k{i + 1}" if i < 119 else None for i in range(120)})
     pairs, about, _ = run(spark, [(v, p, 1, None) for v, p in parent.items()])
     assert pairs == brute(parent)
