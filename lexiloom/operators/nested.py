@@ -1,103 +1,109 @@
 """Deeply nested JSON records turned into related flat tables.
 
 One higher-order SQL projection does the work: ``aggregate`` repeats, as often as
-the text is deep, a ``transform`` over the current level's nodes whose inner
+the text can be deep, a ``transform`` over the current level's nodes whose inner
 ``transform`` calls attach the ancestor's path and the child's key or index, and
 ``flatten`` joins the children's arrays; ``inline`` then emits one row per node.
 No schema is assumed: values are read as VARIANT, so scalars, objects and arrays
-may change places.
+may change places.  Each level takes its nodes apart by one step, so the work is in
+proportion to the nodes.
 
 Defined results: a null, blank or incomplete text gives no rows; a text whose whole
-value is a JSON string holding JSON is read as that JSON, also when encoded more
-than once (up to ``MAX_ENCODINGS``); a repeated key keeps its last value; nulls in
-arrays count for the index.
+value is a JSON string holding JSON is read as that JSON, however often it was
+encoded; a repeated key keeps its last value (this needs, and sets, the session's
+``spark.sql.variant.allowDuplicateKeys``); nulls in arrays count for the index; text
+nested deeper than the JSON parser takes (1,000) counts as broken.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: How often a whole value may have been encoded as a JSON string again.
-MAX_ENCODINGS = 8
+NODE = "struct<path:string,parent:string,key:string,idx:int,obj:map<string,variant>,arr:array<variant>,value:variant>"
 
-NODE = "struct<path:string,parent:string,key:string,idx:int,kind:string,value:variant>"
 
+# The expressions bind what they use twice as a lambda's variable, so that Catalyst cannot copy it: ``let``.
 
-def brackets(text: Column) -> Column:
-    """The text's brackets outside strings, as one string; anything after the value shows as ``?``."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"\\.", ""), r'"[^"]*"', '"')
-    return F.regexp_replace(bare, r"[^\[\]{}]+", "")
 
+def _let(name: str, value: str, body: str) -> str:
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
-def depth_of(text: Column) -> Column:
-    """Greatest bracket depth; -1 if the text is no single, closed container."""
-    marks = F.split(brackets(text), "")
-    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"), F.lit(0).alias("closed"))
 
-    def step(acc: Column, m: Column) -> Column:
-        now = acc["now"] + F.when(m.isin("[", "{"), 1).when(m.isin("]", "}"), -1).otherwise(0)
-        return F.struct(
-            now.alias("now"),
-            F.greatest(acc["most"], now).alias("most"),
-            (acc["closed"] + F.when(m.isin("]", "}") & (now == 0), 1).otherwise(0)).alias("closed"),
-        )
+def complete(text: str) -> str:
+    """The text's value as VARIANT; null if it is no JSON or more stands after it.
 
-    def finish(acc: Column) -> Column:
-        return F.when((acc["now"] == 0) & (acc["closed"] == 1), acc["most"]).otherwise(-1)
+    The parser stops after the first value, so the text is read as the first of two items
+    of an array, the second being the text's own hash.
+    """
+    both = f"try_variant_get(try_parse_json(concat('[', {text}, ',', seal, ']')), '$', 'array<variant>')"
+    checked = "case when size(both) = 2 and try_variant_get(both[1], '$', 'bigint') = seal then both[0] end"
+    return _let("seal", f"xxhash64({text})", _let("both", both, checked))
 
-    whole = F.trim(F.regexp_replace(text, r"\s+", " ")).rlike(r"(?s)^[\[{].*[\]}]$")
-    return F.when(whole, F.aggregate(marks, zero, step, finish)).otherwise(-1)
 
+def unwrap(text: str) -> str:
+    """Undo whole-value string encodings; null if what stands in the string is no JSON text.
 
-def unwrap(text: Column) -> Column:
-    """Undo whole-value string encodings; null if what stands in the string is no JSON text."""
+    Each encoding doubles a text at least, so its length tells how many there can be.
+    """
+    quoted = r"""{0} rlike '^\\s*"'"""
+    once = f"case when {quoted.format('u')} then try_variant_get({complete('u')}, '$', 'string') else u end"
+    most = f"cast(ceil(log2(length({text}) + 1)) as int)"
+    return f"case when {quoted.format(text)} then aggregate(sequence(1, {most}), {text}, (u, i) -> {once}) else {text} end"
 
-    def once(t: Column, _: Column) -> Column:
-        return F.when(t.rlike(r'^\s*"'), F.try_variant_get(F.try_parse_json(t), "$", "string")).otherwise(t)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_ENCODINGS)), text, once)
+def _node(path: str, parent: str, key: str, idx: str, value: str) -> str:
+    return f"""named_struct('path', {path}, 'parent', {parent}, 'key', {key}, 'idx', {idx},
+  'obj', try_variant_get({value}, '$', 'map<string,variant>'), 'arr', try_variant_get({value}, '$', 'array<variant>'), 'value', {value})"""
 
 
-_CHILDREN = """
+_CHILDREN = f"""
 flatten(transform(acc.level, n -> case
-  when schema_of_variant(n.value) like 'OBJECT%' then
-    transform(map_entries(cast(n.value as map<string,variant>)), e -> named_struct(
-      'path', concat(n.path, '.', e.key), 'parent', n.path, 'key', e.key, 'idx', cast(null as int),
-      'kind', left(schema_of_variant(e.value), 5), 'value', e.value))
-  when schema_of_variant(n.value) like 'ARRAY%' then
-    transform(cast(n.value as array<variant>), (x, i) -> named_struct(
-      'path', concat(n.path, '[', i, ']'), 'parent', n.parent, 'key', n.key, 'idx', i,
-      'kind', left(schema_of_variant(x), 5), 'value', x))
-  else cast(array() as array<{node}>) end))
-""".replace("{node}", NODE)
+  when n.obj is not null then transform(map_entries(n.obj), e -> {_node("concat(n.path, '.', e.key)", "n.path", "e.key", "cast(null as int)", "e.value")})
+  when n.arr is not null then transform(n.arr, (x, i) -> {_node("concat(n.path, '[', i, ']')", "n.parent", "n.key", "i", "x")})
+  else cast(array() as array<{NODE}>) end))
+"""
 
+# a text is no deeper than it has opening brackets
+_OPENING = "'[{'"
 _WALK = f"""
 aggregate(
-  sequence(1, _depth + 1),
-  named_struct('found', cast(array() as array<{NODE}>),
-    'level', cast(array(named_struct('path', _field, 'parent', cast(null as string), 'key', _field, 'idx', cast(null as int),
-      'kind', left(schema_of_variant(_value), 5), 'value', _value)) as array<{NODE}>)),
-  (acc, i) -> named_struct(
-    'found', concat(acc.found, filter(acc.level, n -> {{wanted}})),
-    'level', {_CHILDREN}),
+  sequence(1, 1 + least(1000, length(text) - length(translate(text, {_OPENING}, '')))),
+  named_struct('found', cast(array() as array<{{found}}>), 'level', cast(array({_node("_field", "cast(null as string)", "_field", "cast(null as int)", "root")}) as array<{NODE}>)),
+  (acc, i) -> if(size(acc.level) = 0, acc, named_struct(
+    'found', concat(acc.found, cast(transform(filter(acc.level, n -> {{wanted}}), n -> {{kept}}) as array<{{found}}>)),
+    'level', {_CHILDREN})),
   acc -> acc.found)
 """
-_OBJECTS, _SCALARS = (_WALK.replace("{wanted}", w) for w in ("n.kind = 'OBJEC'", "n.kind not in ('OBJEC', 'ARRAY')"))
+_PLACE = "path:string,parent:string,key:string,idx:int"
+_KEPT = "named_struct('path', n.path, 'parent', n.parent, 'key', n.key, 'idx', n.idx{more})"
+
+
+def _walk(wanted: str, more: str = "", kind: str = "") -> str:
+    found = f"struct<{_PLACE}{kind}>"
+    walk = _WALK.replace("{found}", found).replace("{wanted}", wanted).replace("{kept}", _KEPT.replace("{more}", more))
+    value = _let("root", complete("text"), f"case when root is not null then {walk} end")
+    return _let("text", unwrap("_text"), rf"case when text rlike '^\\s*[\\[{{]' then {value} end")
+
+
+_OBJECTS = _walk("n.obj is not null", ", 'node', n.obj", ",node:map<string,variant>")
+_PLACES = _walk("n.obj is not null")
+_SCALARS = _walk("n.obj is null and n.arr is null", ", 'node', n.value", ",node:variant")
 
 
-def json_objects(df: DataFrame, keys: list[str], field: str, kind: str | None = None) -> DataFrame:
+def json_objects(df: DataFrame, keys: list[str], field: str | list[str], kind: str | None = None, node: bool = True) -> DataFrame:
     """One row per JSON object at any depth of ``df[field]``, or per object of one ``kind``.
 
     Columns: ``keys``, ``field_name``, ``node_path``, ``parent_path`` (the nearest
     enclosing object, null at the top), ``kind`` (the key the object stands under),
-    ``ordinal`` (its place in an array, or null) and ``node`` (VARIANT).  ``keys``
-    must name the row; other columns of ``df`` are not read.
+    ``ordinal`` (its place in an array, or null) and, if asked for, ``node``
+    (MAP<STRING, VARIANT>).  ``keys`` must name the row; several fields are read in one
+    scan; other columns of ``df`` are not read.
     """
-    return _nodes(df, keys, field, kind, _OBJECTS)
+    return _nodes(df, keys, field, kind, _OBJECTS if node else _PLACES)
 
 
-def json_values(df: DataFrame, keys: list[str], field: str) -> DataFrame:
+def json_values(df: DataFrame, keys: list[str], field: str | list[str]) -> DataFrame:
     """One row per scalar at any depth of ``df[field]``, JSON nulls included, with its ``value`` as text.
 
     Columns as for ``json_objects``; ``parent_path`` is the object that holds the value or
@@ -107,30 +113,30 @@ def json_values(df: DataFrame, keys: list[str], field: str) -> DataFrame:
     return rows.withColumn("value", F.try_variant_get("node", "$", "string")).drop("node")
 
 
-def _nodes(df: DataFrame, keys: list[str], field: str, kind: str | None, walk: str) -> DataFrame:
+def _nodes(df: DataFrame, keys: list[str], field: str | list[str], kind: str | None, walk: str) -> DataFrame:
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     ids = [f"_k{i}" for i in range(len(keys))]
+    fields = [field] if isinstance(field, str) else field
     nodes = F.col("_nodes")
     if kind is not None:
         nodes = F.filter(nodes, lambda n: n["key"] == kind)
+    given = [F.col(k).alias(i) for i, k in zip(ids, keys, strict=True)]
+    if len(fields) == 1:
+        texts = df.select(*given, F.lit(fields[0]).alias("_field"), F.col(fields[0]).alias("_text"))
+    else:
+        texts = df.select(*given, F.inline(F.array(*[F.struct(F.lit(f).alias("_field"), F.col(f).alias("_text")) for f in fields])))
     return (
-        df.select(*[F.col(k).alias(i) for i, k in zip(ids, keys, strict=True)], F.col(field).alias("_text"))
-        .where(F.col("_text").isNotNull())
-        .withColumn("_text", unwrap(F.col("_text")))
-        .withColumn("_depth", depth_of(F.col("_text")))
-        .where(F.col("_depth") >= 1)
-        .withColumns({"_value": F.try_parse_json("_text"), "_field": F.lit(field)})
-        .where(F.col("_value").isNotNull())
-        .select(*ids, F.expr(walk).alias("_nodes"))
-        .select(*ids, F.inline(nodes))
+        texts.where(F.col("_text").isNotNull())
+        .select(*ids, "_field", F.expr(walk).alias("_nodes"))
+        .select(*ids, "_field", F.inline(nodes))
         .select(
             *[F.col(i).alias(k) for i, k in zip(ids, keys, strict=True)],
-            F.lit(field).alias("field_name"),
+            F.col("_field").alias("field_name"),
             F.col("path").alias("node_path"),
             F.col("parent").alias("parent_path"),
             F.col("key").alias("kind"),
             F.col("idx").alias("ordinal"),
-            F.col("value").alias("node"),
+            *([F.col("node")] if walk is not _PLACES else []),
         )
     )
 
@@ -147,5 +153,5 @@ def flat_table(df: DataFrame, keys: list[str], field: str, kind: str, columns: d
         "node_path",
         "parent_path",
         "ordinal",
-        *[F.try_variant_get("node", f"$['{c}']", t).alias(c) for c, t in columns.items()],
+        *[F.try_variant_get(F.try_element_at("node", F.lit(c)), "$", t).alias(c) for c, t in columns.items()],
     )

@@ -44,14 +44,18 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: The fields by table, so that each table is scanned once.
+TABLES = (("buck_rules", "row_id", ["variants", "transformation"]), ("buck_glossary", "entry_id", ["buck_ref"]))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     parts = [
-        nested.json_objects(table(spark, d, t), [k], f).select(
+        nested.json_objects(table(spark, d, t), [k], fields, node=False).select(
             F.lit(t).alias("table_name"), F.col(k).alias("row_id"), "field_name", "node_path"
         )
-        for t, k, f in FIELDS
+        for t, k, fields in TABLES
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return parts[0].unionByName(parts[1])
 
 
 def p2_flat(kind: str):

@@ -36,6 +36,13 @@ def test_broken_scalar_and_encoded(spark):
     texts = [None, "", "null", "3", '"text"', '{"a":1', '{"a":1} x', '{"a":1}{"b":2}', "[]", json.dumps(inner), json.dumps(json.dumps(inner)), json.dumps('{"cut":'), " {} "]
     got = paths(spark, texts)
     assert set(got) == {9, 10, 12}
+    often, text = [], inner
+    for _ in range(14):
+        text = json.dumps(text)
+        often.append(text)
+    sealed = ['{"a":1}] [', '{"a":1}, 5] [', '"{\\"a\\":1}" x', '{"a":1},{"b":2}', "[1,2] 3"]
+    got2 = paths(spark, often + sealed)
+    assert set(got2) == set(range(14)) and all([p for p, *_ in v] == ["f", "f.x[0]"] for v in got2.values())
     assert [p for p, *_ in got[9]] == ["f", "f.x[0]"] == [p for p, *_ in got[10]]
     assert got[12] == [("f", None, "f", None)]
 
