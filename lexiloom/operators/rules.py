@@ -240,12 +240,23 @@ def _step(w: _Word, usable: list[Rule], rules: RuleSet, c: int, end: int, out: l
 
 
 def explain_udf(rules: RuleSet, metadata: tuple[str, ...] = ()):
-    """(alignment, STRUCT of lemma metadata) -> applications."""
+    """(alignment, STRUCT of lemma metadata) -> applications.
+
+    Equal alignments of a batch are explained once, unless a rule looks at the metadata.
+    """
+    asked = any(r.constraints is not None for r in rules.rules)
 
     @F.pandas_udf(APPLICATION)
     def run(alignment: pd.Series, lemma: pd.DataFrame) -> pd.Series:
-        meta = lemma.to_dict("records")
-        return pd.Series([explain([(x["q"], x["l"]) for x in (a if a is not None else [])], rules, m) for a, m in zip(alignment, meta, strict=True)])
+        meta = lemma.to_dict("records") if asked else [None] * len(alignment)
+        known: dict = {}
+        out = []
+        for a, m in zip(alignment, meta, strict=True):
+            key = tuple((x["q"], x["l"]) for x in (a if a is not None else []))
+            got = explain(list(key), rules, m) if asked or key not in known else known[key]
+            known[key] = got
+            out.append(got)
+        return pd.Series(out)
 
     return run
 

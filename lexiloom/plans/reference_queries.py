@@ -100,9 +100,9 @@ def unigram_fallback(spark, d, words=query_words):
     q = _query_tokens(spark, d, words)
     bare = q.join(_seeds(spark, d, words).select("qid").distinct(), "qid", "left_anti")
     index = _postings(spark, d, 1).select("kmer", F.col("word").alias("id"))
-    hit = P.seeds(bare, index, "q_unigrams").join(_tokens(spark, d).select(F.col("word").alias("id"), F.size("tok").alias("n")), "id").join(bare, "qid")
-    rn = F.row_number().over(Window.partitionBy("qid").orderBy(F.abs(F.col("n") - F.col("q_len")), F.col("id") != F.col("q_ipa"), "id"))
-    return hit.select(F.col("qid").alias("query"), F.col("id").alias("word"), rn.cast("bigint").alias("rank")).where("rank <= 20")
+    lex = _tokens(spark, d).select(F.col("word").alias("id"), F.size("tok").alias("n_tokens"), F.col("word").alias("ipa"))
+    got = P.unigram_candidates(bare, P.seeds(bare, index, "q_unigrams"), lex, 20)
+    return got.select(F.col("qid").alias("query"), F.col("id").alias("word"), F.col("pos").cast("bigint").alias("rank"))
 
 
 def proximity_topk(spark, d, words=query_words):

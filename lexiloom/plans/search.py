@@ -2,9 +2,10 @@
 
 Lexicon side, computed once and worth persisting: ``prepare_lexicon`` adds tokens, skeleton,
 length, lookup key and distinct k-mers; postings are an explode of the k-mers.  Query
-side: seeds come from an equi-join on k-mers; fallbacks serve only queries without seeds
-(anti-joins); the quadratic alignment runs on the candidate window, the rule engine
-on the ranked rest.  Per-query caps are ``row_number`` filters, so Spark limits
+side: seeds come from an equi-join on k-mers; queries are then tagged with the path they
+take, and a path no query takes is not planned; fallbacks serve only queries without
+seeds; the quadratic alignment runs on the candidate window, the rule engine once, on
+the ranked rest of all modes.  Per-query caps are ``row_number`` filters, so Spark limits
 each group before it shuffles.  Query tables are never forced to be broadcast: they are
 written first, so the planner knows their size.
 """
@@ -166,48 +167,63 @@ def candidates(queries: DataFrame, lexicon: DataFrame, scratch: Scratch | None =
 
     Paths: seeded, seeded_partial, unigram, unigram_partial, proximity, proximity_partial.
     """
-    index, index1 = postings(lexicon), postings(lexicon, "unigrams")
-    found = scratch.write(seeds(queries, index), "seeds") if scratch else seeds(queries, index)
-    partial, whole = queries.where("shape is not null"), queries.where("shape is null")
-    has_seed = found.select("qid").distinct()
+    scratch = scratch or Scratch(queries.sparkSession, "candidates")
+    found = scratch.write(seeds(queries, postings(lexicon)), "seeds")
+    has_seed = found.select(F.col("qid").alias("_seeded")).distinct()
+    tagged = queries.join(has_seed, F.col("qid") == F.col("_seeded"), "left").withColumn("bare", F.col("_seeded").isNull()).drop("_seeded")
+    tagged, special = scratch.write_counted(tagged, "tagged", "bare or shape is not null")
+    out = _seeded(tagged.where("shape is null and not bare"), found, lexicon)
+    if special:
+        # single-phone seeds are many: only queries that need them look for them
+        few = tagged.where("bare or shape is not null")
+        found1 = scratch.write(seeds(few, postings(lexicon, "unigrams"), "q_unigrams"), "seeds1")
+        for part in (_seeded_partial(tagged.where("shape is not null and not bare"), found, found1, lexicon), *_bare(tagged.where("bare"), found1, lexicon)):
+            out = out.unionByName(part)
+    return out
+
 
-    # seeded, no wildcard: top seeds, exact keys first where missing, wider by near lengths for full forms
+def _seeded(whole: DataFrame, found: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """No wildcard: top seeds, exact keys first where missing, wider by near lengths for full forms."""
     limit = whole.select("qid", "mode", "q_len", seed_limit(F.col("n")).alias("_l"))
     ranked = found.join(limit, "qid")
     top = ranked.where("pos <= _l").select("qid", "id", "pos")
-    exact = exact_matches(whole, lexicon).join(has_seed, "qid", "left_semi")
+    exact = exact_matches(whole, lexicon)
     added = exact.join(top.select("qid", "id"), ["qid", "id"], "left_anti")
     added = added.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy("id")))
     seeded = merge_candidates(added, top).join(limit.select("qid", "_l"), "qid").where("pos <= _l").select("qid", "id", "pos")
     rest = ranked.where("mode = 'Full-form'").join(exact.select("qid").distinct(), "qid", "left_anti").where("pos > _l")
     rest = rest.join(lexicon.select("id", "n_tokens"), "id").select("qid", "id", F.abs(F.col("n_tokens") - F.col("q_len")).alias("delta"), F.col("pos").alias("seed_pos"), "_l")
     wide = near_length(rest).where(F.col("turn") <= F.col("_l")).select("qid", "id", (F.col("_l") + F.col("turn")).alias("pos"))
-    seeded = seeded.unionByName(wide).withColumn("path", F.lit("seeded"))
+    return seeded.unionByName(wide).withColumn("path", F.lit("seeded"))
+
 
-    # seeded wildcard queries: seeds, then single-phone seeds, preselected by fragment matches
-    found1 = seeds(queries, index1, "q_unigrams")
-    pool = merge_candidates(found.join(partial.select("qid"), "qid", "left_semi"), found1.join(partial.select("qid"), "qid", "left_semi").join(has_seed, "qid", "left_semi"))
+def _seeded_partial(partial: DataFrame, found: DataFrame, found1: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Wildcard queries with seeds: seeds, then single-phone seeds, preselected by fragment matches."""
+    own = partial.select("qid")
+    pool = merge_candidates(found.join(own, "qid", "left_semi"), found1.join(own, "qid", "left_semi"))
     pool = pool.join(partial.select("qid", annotation_limit(F.col("n")).alias("_l")), "qid").where("pos <= _l").select("qid", "id", "pos")
-    seeded_partial = _preselect(partial, pool, lexicon, F.greatest(seed_limit(F.col("n")), F.lit(PARTIAL_WINDOW))).withColumn("path", F.lit("seeded_partial"))
+    return _preselect(partial, pool, lexicon, F.greatest(seed_limit(F.col("n")), F.lit(PARTIAL_WINDOW))).withColumn("path", F.lit("seeded_partial"))
 
-    # without seeds: single-phone seeds by proximity
-    bare = queries.join(has_seed, "qid", "left_anti")
-    uni = found1.join(has_seed, "qid", "left_anti")
-    hit = uni.join(lexicon.select("id", "n_tokens", "ipa"), "id").join(queries.select("qid", "q_len", "q_ipa"), "qid")
+
+def unigram_candidates(bare: DataFrame, found1: DataFrame, lexicon: DataFrame, cap: int = FALLBACK) -> DataFrame:
+    """(qid, id, pos): the ``cap`` entries that share a phone, nearest in length, then equal keys, then id."""
+    hit = found1.join(bare.select("qid", "q_len", "q_ipa"), "qid").join(lexicon.select("id", "n_tokens", "ipa"), "id")
     pos = F.row_number().over(Window.partitionBy("qid").orderBy(F.abs(F.col("n_tokens") - F.col("q_len")), F.col("ipa") != F.col("q_ipa"), "id"))
-    uni = hit.select("qid", "id", pos.alias("pos")).where(F.col("pos") <= FALLBACK)
-    has_uni = uni.select("qid").distinct()
-    # without those: the whole lexicon by proximity
-    prox = proximity(bare.join(has_uni, "qid", "left_anti"), lexicon)
+    return hit.select("qid", "id", pos.alias("pos")).where(F.col("pos") <= cap)
+
+
+def _bare(bare: DataFrame, found1: DataFrame, lexicon: DataFrame) -> list[DataFrame]:
+    """Queries without seeds: single-phone seeds by proximity, without those the whole lexicon by proximity."""
+    uni = unigram_candidates(bare, found1, lexicon)
+    prox = proximity(bare.join(found1.select("qid").distinct(), "qid", "left_anti"), lexicon)
     window = F.least(partial_limit(F.col("n")), F.lit(FALLBACK))
-    parts = [seeded, seeded_partial]
+    whole, partial = bare.where("shape is null"), bare.where("shape is not null")
+    parts = []
     for rows, path in ((uni, "unigram"), (prox, "proximity")):
         parts.append(rows.join(whole.select("qid"), "qid", "left_semi").withColumn("path", F.lit(path)))
-        parts.append(_preselect(partial, rows.join(partial.select("qid"), "qid", "left_semi"), lexicon, window).withColumn("path", F.lit(path + "_partial")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p.select("qid", "id", "pos", "path"))
-    return out
+        part = _preselect(partial, rows.join(partial.select("qid"), "qid", "left_semi"), lexicon, window)
+        parts.append(part.withColumn("path", F.lit(path + "_partial")))
+    return parts
 
 
 # --- scoring and ranking --------------------------------------------------------
@@ -245,41 +261,56 @@ def annotate(rows: DataFrame, ruleset: rules.RuleSet) -> DataFrame:
 
 
 def finalize(scored: DataFrame, ruleset: rules.RuleSet) -> DataFrame:
-    """The results of each query by its mode, ranked from 1."""
+    """The results of each query by its mode, ranked from 1.
+
+    One chain of windows for all modes, whose sort keys depend on the mode; the rule
+    engine sees only what their first ranking leaves.
+    """
     conf, lemma = F.desc("confidence"), F.asc_nulls_last("headword")
+    full, short, part = (F.col("mode") == m for m in ("Full-form", "Short-query", "Partial-form"))
+    by_mode = lambda a, b: F.when(short, a).when(part, b)
     scored = scored.withColumns(
         {
             "rank0": F.row_number().over(_order(conf, lemma, F.col("pos"), F.col("id"))),
             "exact": F.col("q_tokens") == F.col("tokens"),
             "delta": F.abs(F.col("n_tokens") - F.col("q_len")),
+            "_m": F.when(part, S.wildcard_match(F.col("shape"), F.col("left_tokens"), F.col("right_tokens"), F.col("tokens"))),
         }
     )
-    rank = F.row_number().over(_order(F.col("_o"), F.col("rank0"))).alias("rank")
-
-    full = first_by_headword(scored.where("mode = 'Full-form'"), F.col("rank0"))
-    full = full.withColumn("_o", F.lit(0)).withColumn("rank", F.row_number().over(_order(F.col("rank0")))).where(F.col("rank") <= F.col("n"))
-    full = annotate(full.drop("_o"), ruleset)
-
-    short = scored.where("mode = 'Short-query'")
+    # a full form's entries are made distinct before they are ranked, the others' after
+    scored = scored.withColumn("_first", F.row_number().over(Window.partitionBy("qid", "headword").orderBy("rank0"))).where(~full | (F.col("_first") == 1))
     primary = F.col("exact") | (F.col("confidence") >= SHORT_FLOOR)
-    keys = (~primary, ~(F.col("exact") & primary), F.when(primary, F.col("confidence") < SHORT_FLOOR), F.col("delta"), conf, lemma, F.col("rank0"))
-    wide = annotation_limit(F.col("n"))
-    short = short.withColumn("_w", F.row_number().over(_order(*keys))).where(F.col("_w") <= wide * BATCHES)
-    short = annotate(short, ruleset).where(F.col("exact") | (F.size("applied_rules") > 0) | (F.col("confidence") >= SHORT_FLOOR))
-    inside = (F.floor((F.col("_w") - 1) / wide), ~F.col("exact"), conf, F.size("applied_rules") == 0, lemma, F.col("_w"))
-    short = first_by_headword(short, *inside).withColumn("rank", F.row_number().over(_order(*inside))).where(F.col("rank") <= F.col("n")).drop("_w")
-
-    part = scored.where("mode = 'Partial-form'").withColumn("_m", S.wildcard_match(F.col("shape"), F.col("left_tokens"), F.col("right_tokens"), F.col("tokens")))
     good = F.col("confidence") >= PARTIAL_FLOOR
+    overlap, frag, whole = F.col("_m.overlap"), F.col("_m.frag"), F.col("_m.full")
     context = F.abs(F.col("n_tokens") - F.size("left_tokens") - F.size("right_tokens"))
-    keys = (~((F.col("_m.overlap") > 0) | F.col("_m.full") | good), ~F.col("_m.full"), -F.col("_m.frag"), -F.col("_m.overlap"), ~good, context, conf, lemma, F.col("rank0"))
-    part = part.withColumn("_w", F.row_number().over(_order(*keys))).where(F.col("_w") <= wide)
+    keys = (
+        by_mode(~primary, ~((overlap > 0) | whole | good)),
+        by_mode(~(F.col("exact") & primary), ~whole),
+        by_mode(F.when(primary, (F.col("confidence") < SHORT_FLOOR).cast("int")), -frag),
+        by_mode(F.lit(0), -overlap),
+        by_mode(F.lit(False), ~good),
+        by_mode(F.col("delta"), context),
+    )
+    wide = annotation_limit(F.col("n"))
+    ranked = scored.withColumn("_w", F.row_number().over(_order(*keys, conf, lemma, F.col("rank0"))))
+    ranked = ranked.where(F.col("_w") <= F.when(full, F.col("n")).when(short, wide * BATCHES).otherwise(wide))
+
+    out = annotate(spread(ranked), ruleset)
     ruled = F.size("applied_rules") > 0
-    part = annotate(part, ruleset).where(F.col("_m.full") | ((F.col("_m.overlap") > 0) & (ruled | good)))
-    last = (~F.col("_m.full"), -F.col("_m.frag"), -F.col("_m.overlap"), ~ruled, conf, F.coalesce("headword", F.lit("")), F.col("_w"))
-    part = first_by_headword(part, *last).withColumn("rank", F.row_number().over(_order(*last))).where(F.col("rank") <= F.col("n")).drop("_m", "_w")
-    del rank
-    return full.unionByName(short).unionByName(part)
+    out = out.where(full | (short & (primary | ruled)) | (part & (whole | ((overlap > 0) & (ruled | good)))))
+    keys = (
+        by_mode(F.floor((F.col("_w") - 1) / wide), F.lit(0)),
+        by_mode(~F.col("exact"), ~whole),
+        by_mode(-F.col("confidence"), -frag.cast("double")),
+        by_mode(~ruled, F.lit(False)),
+        by_mode(F.lit(0), -overlap),
+        by_mode(F.lit(False), ~ruled),
+        by_mode(F.lit(0.0), -F.col("confidence")),
+        F.when(~full, F.coalesce("headword", F.when(part, F.lit("")), F.lit("\U0010ffff"))),
+        F.col("_w"),
+    )
+    out = first_by_headword(out, *keys).withColumn("rank", F.row_number().over(_order(*keys))).where(F.col("rank") <= F.col("n"))
+    return out.drop("_m", "_w", "_first")
 
 
 def classify(results: DataFrame) -> DataFrame:
