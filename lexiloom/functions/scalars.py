@@ -15,13 +15,10 @@ from pyspark.sql import functions as F
 from lexiloom.functions.unicode import nfc, nfd, strip_marks, strip_pitch_marks
 
 # Greek letters and the phones they stand for.
-LETTER_PHONES = dict(
-    zip(
-        "αβγδεζηθικλμνξοπρσςτυφχψωϝ",
-        "a b ɡ d e zd ɛː tʰ i k l m n ks o p r s s t y pʰ kʰ ps ɔː w".split(),
-        strict=True,
-    )
-)
+LETTER_PHONES = {
+    "α": "a", "β": "b", "γ": "ɡ", "δ": "d", "ε": "e", "ζ": "zd", "η": "ɛː", "θ": "tʰ", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "ks",
+    "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "y", "φ": "pʰ", "χ": "kʰ", "ψ": "ps", "ω": "ɔː", "ϝ": "w",
+}
 DIPHTHONG_PHONES = {"αι": "ai", "ει": "eː", "οι": "oi", "αυ": "au", "ευ": "eu", "ηυ": "ɛːy", "ου": "oː"}
 # Phones that occur only in given phone texts, and the vowels.
 EXTRA_PHONES = ["f", "aː", "ð", "h", "u", "yː", "x", "ɣ", "θ"]
@@ -33,9 +30,10 @@ LENGTH_FREE = ["a", "i", "y", "u"]
 SHIFT_EVERYWHERE = {"pʰ": "f", "tʰ": "θ", "kʰ": "x"}
 SHIFT_BETWEEN_VOWELS = {"ɡ": "ɣ", "d": "ð"}
 # Letters in Latin transliteration.
-LETTER_LATIN = dict(
-    zip("αβγδεζηθικλμνξοπρσςτυφχψωϝ", "a b g d e z ē th i k l m n x o p r s s t y ph kh ps ō w".split(), strict=True)
-)
+LETTER_LATIN = {
+    "α": "a", "β": "b", "γ": "g", "δ": "d", "ε": "e", "ζ": "z", "η": "ē", "θ": "th", "ι": "i", "κ": "k", "λ": "l", "μ": "m", "ν": "n", "ξ": "x",
+    "ο": "o", "π": "p", "ρ": "r", "σ": "s", "ς": "s", "τ": "t", "υ": "y", "φ": "ph", "χ": "kh", "ψ": "ps", "ω": "ō", "ϝ": "w",
+}
 DIPHTHONG_LATIN = {"αι": "ai", "ει": "ei", "οι": "oi", "υι": "yi", "αυ": "au", "ευ": "eu", "ηυ": "ēu", "ου": "ou"}
 # Beta Code letters and marks.
 BETA_LETTERS = ("abgdezhqiklmncoprstufxywv", "αβγδεζηθικλμνξοπρστυφχψωϝ")
@@ -262,14 +260,14 @@ def lemma_lenient(s: Column | str) -> Column:
     return F.lower(F.replace(nfc(bare), F.lit("ς"), F.lit("σ")))
 
 
-# Editorial marks dropped from a transcribed form.
-EDITORIAL = "∼∽∤⸢⸣⸤⸥⊢⊣⋰⋱〚〛⟦⟧⸌⸍⸮?!()[]⎴⎵⸜⸝⦑⦒⧼…⁽⁾-~"
+# Editorial marks dropped from a transcribed form, the dot below and a private-use mark among them.
+EDITORIAL = "\u0323∼∽∤⸢⸣⸤⸥⊢⊣⋰⋱〚〛⟦⟧⸌⸍⸮?!()[]⎴⎵⸜⸝⦑⦒⧼…⁽⁾-~\ue1c0"
 LATIN_FOR_GREEK = ("ocABEZHIKMNOPTXY", "οϲΑΒΕΖΗΙΚΜΝΟΡΤΧΥ")
 
 
 def clean_markup(form: Column | str) -> Column:
-    """Editorial marks, brackets and abbreviations removed, Latin look-alikes repaired, composed."""
-    s = F.regexp_replace(_col(form), "❨[^❩]*❩", "")
+    """Inline notes, editorial marks and brackets removed, what they enclose kept; Latin look-alikes repaired, composed."""
+    s = F.regexp_replace(_col(form), r"\|[^|]*\|", "")
     s = F.translate(s, EDITORIAL + "<>{}❨❩", "")
     return nfc(F.trim(F.translate(s, *LATIN_FOR_GREEK)))
 

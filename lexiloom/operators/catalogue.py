@@ -26,6 +26,25 @@ def page(rows: DataFrame, order: list[str], limit: int = 50, offset: int = 0) ->
     return rows.orderBy(*order).offset(offset).limit(limit).join(F.broadcast(total))
 
 
+def posting_lists(rows: DataFrame, key: Column, item: str, order: list[str]) -> DataFrame:
+    """(key, items, n): the items of each key in order; rows without a key are left out."""
+    lists = rows.withColumn("_key", key).where("_key is not null").groupBy(F.col("_key").alias("key"))
+    return lists.agg(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col(item).alias("_item")))), lambda x: x["_item"]).alias("items"), F.count("*").alias("n"))
+
+
+def found(rows: DataFrame, order: list[Column], equals: dict | None = None, contains: dict | None = None) -> DataFrame:
+    """What ``matching`` keeps, with its ``place`` in the catalogue's order; for lists short enough to be shown."""
+    return matching(rows, equals, contains).withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def find_rules(rules: DataFrame, section: str | None = None, category: str | None = None, dialect: str | None = None) -> DataFrame:
+    return found(rules, [F.col("id")], {"buck_section": section, "category": category}, {"affected_dialects": dialect})
+
+
+def find_glossary(entries: DataFrame, dialect: str | None = None, rule_id: str | None = None) -> DataFrame:
+    return found(entries, [F.col("word"), F.col("dialect"), F.coalesce("rule_id", F.lit(""))], {"dialect": dialect, "rule_id": rule_id})
+
+
 def inherited(ancestors: DataFrame, own: DataFrame, node: str, rule: str) -> DataFrame:
     """(node, rule, depth): own rules (depth 0) and those of every ancestor, each at its smallest depth.
 

@@ -77,6 +77,36 @@ def recall(ranks: DataFrame, group: str = "split", rank: str = "rank", size: str
     return out.withColumn(group, F.when(F.col("_g") == 1, "all").otherwise(F.col(group))).drop("_g")
 
 
+def gold_ranks(cands: DataFrame, gold: DataFrame, key: list[str], lemma: str = "lemma", place: str = "place") -> DataFrame:
+    """Per token of ``gold`` (key, gold): 0-based ``lenient`` and ``strict`` place of the first match, each null for none, and ``n_cand``.
+
+    Lenient equality leaves out homograph digits, accents, breathings and case.
+    """
+    from lexiloom.functions.scalars import lemma_lenient, lemma_strict
+
+    c = cands.select(*key, F.col(lemma).alias("_l"), F.col(place).alias("_p")).withColumns({"_ls": lemma_strict("_l"), "_ll": lemma_lenient("_l")})
+    g = gold.select(*key, F.col("gold").alias("_g")).withColumns({"_gs": lemma_strict("_g"), "_gl": lemma_lenient("_g")})
+    first = lambda a, b: F.min(F.when(F.col(a) == F.col(b), F.col("_p")))
+    return g.join(c, key, "left").groupBy(*key).agg(first("_ll", "_gl").alias("lenient"), first("_ls", "_gs").alias("strict"), F.count("_p").alias("n_cand"))
+
+
+def merged_slices(parts: list[DataFrame], key: list[str], same: list[str]) -> DataFrame:
+    """Disjoint result slices as one table; a repeated ``key``, or slices unlike in ``same`` (stage, provenance), raise."""
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    kinds = both.agg(F.countDistinct(*[F.struct(F.col(c)) for c in same]).alias("_kinds"))
+    twice = both.groupBy(*key).agg(F.count("*").alias("_n")).agg(F.coalesce(F.max("_n"), F.lit(0)).alias("_twice"))
+    bad = F.when(F.col("_kinds") > 1, F.raise_error(F.lit("slices of unlike stage or provenance")).cast("string")).when(F.col("_twice") > 1, F.raise_error(F.lit("a key occurs twice")).cast("string"))
+    return both.join(F.broadcast(kinds)).join(F.broadcast(twice)).where(bad.isNull()).drop("_kinds", "_twice")
+
+
+def overlap_roles(left: DataFrame, right: DataFrame, key: str, role: str) -> DataFrame:
+    """(key, role): the keys two collections share, with the role (dev, test, unused) each has in ``right``."""
+    mine = left.select(F.trim(F.col(key).cast("string")).alias(key)).where(F.col(key) != "").distinct()
+    return mine.join(right.select(F.trim(F.col(key).cast("string")).alias(key), role).distinct(), key)
+
+
 def rank_profile(ranks: DataFrame, doc: str = "doc", rank: str = "rank") -> DataFrame:
     """Unresolved share, rank median and p90 (by index), recall at the cut-offs, documents fully covered at 5 and 20."""
     per_doc = ranks.groupBy(doc).agg(*[F.bool_and(F.coalesce(F.col(rank) < k, F.lit(False))).alias(f"c{k}") for k in (5, 20)])

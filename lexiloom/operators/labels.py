@@ -8,37 +8,61 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Own names of letter alternations: (name, one side, other side), tried in order.
+from lexiloom.functions.unicode import nfd
+
+# Named alternations and what may stand on either side, tried in order; None is any letter, once or doubled.
 ALTERNATIONS = (
-    ("ει~ι", "ει", "ι"), ("η~ι", "η", "ι"), ("οι~υ", "οι", "υ"), ("αι~ε", "αι", "ε"), ("ο~ω", "ο", "ω"), ("ου~υ", "ου", "υ"),
-    ("λ~ρ", "λ", "ρ"), ("κ~γ", "κ", "γ"), ("κ~χ", "κ", "χ"), ("π~φ", "π", "φ"), ("τ~θ", "τ", "θ"), ("τ~δ", "τ", "δ"), ("μ~ν", "μ", "ν"),
+    ("itacism ει/ι", ("ει", "ι")), ("itacism η/ι/ει", ("η", "ι", "ει", "ῃ")), ("itacism οι/υ/ι", ("οι", "υ", "ι")), ("ο/ω quantity", ("ο", "ω")), ("ε/αι", ("ε", "αι")),
+    ("nasal assimilation", ("ν", "μ", "γ")), ("voicing κ/γ π/β τ/δ", ("κ", "γ", "π", "β", "τ", "δ")), ("σ/ζ", ("σ", "ζ")), ("gemination", None), ("αυ/α ευ/ε", ("αυ", "α", "ευ", "ε", "ου", "ο", "υ")),
 )
 SMOOTHING = 0.5
 
 
+def letters(text: Column | str) -> Column:
+    """What labels compare: letters without their marks, in lower case, final sigma kept."""
+    return F.lower(F.regexp_replace(nfd(text), r"[^\p{L}]+", ""))
+
+
+def _side(x: str, allowed: tuple[str, ...] | None) -> bool:
+    return x in allowed if allowed is not None else len(x) == 1 or (len(x) == 2 and x[0] == x[1])
+
+
 def label_pair(a: str, b: str) -> list[str]:
-    """One label for each stretch where the two differ."""
+    """One label for each stretch where two letter strings differ, by the standard library's matcher."""
     out = []
-    for op, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+    for op, i, j, k, m in difflib.SequenceMatcher(None, a, b).get_opcodes():
         if op == "equal":
             continue
         x, y = a[i:j], b[k:m]
-        named = next((n for n, p, q in ALTERNATIONS if {x, y} == {p, q}), None)
+        named = next((name for name, sides in ALTERNATIONS if _side(x, sides) and _side(y, sides)), None)
         if named is None and op != "replace":
-            around = (a[i - 1 : i], a[j : j + 1]) if i else (a[j : j + 1],)
-            named = "doubling" if x + y in around else op
-        out.append(named or "other")
+            part, kind = (y, "insertion") if op == "insert" else (x, "deletion")
+            named = f"{kind} ({part})" if len(part) <= 2 else f"{kind} (long)"
+        out.append(named or "other substitution")
     return out
 
 
 def alternations(a: Column, b: Column) -> Column:
-    """ARRAY<STRING> of labels between two base keys; null if either is null."""
+    """ARRAY<STRING> of the labels between two spellings; null if either is null.  Equal pairs of a batch are compared once."""
 
     @F.pandas_udf("array<string>")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else label_pair(p, q) for p, q in zip(x, y, strict=True)])
+        known = {(p, q): label_pair(p, q) for p, q in set(zip(x, y, strict=True)) if p is not None and q is not None}
+        return pd.Series([known.get(pq) for pq in zip(x, y, strict=True)])
+
+    return run(letters(a), letters(b))
+
+
+def category(labels: Column) -> Column:
+    """One name for a pair: its labels, sorted and joined; many or none have names of their own."""
+    joined = F.array_join(F.array_sort(F.array_distinct(labels)), " + ")
+    return F.when(F.size(labels) == 0, "accent/breathing only").when(F.size(labels) > 2, "multiple alternations").otherwise(joined)
+
 
-    return run(a, b)
+def category_counts(rows: DataFrame, category: str, failed: Column, capitalised: Column) -> DataFrame:
+    """(category, n, failed, capitalised): how often each category occurs, fails, and belongs to a capitalised lemma."""
+    count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int"))
+    return rows.groupBy(category).agg(F.count("*").alias("n"), count(failed).alias("failed"), count(capitalised).alias("capitalised"))
 
 
 def probabilities(labelled: DataFrame, column: str = "labels") -> DataFrame:

@@ -55,6 +55,20 @@ def cascade(parts: dict[str, DataFrame], stages: tuple[str, ...] = ("exact", "ru
     return out
 
 
+def lemma_candidates(cands: DataFrame, forms: DataFrame, key: str = "word") -> DataFrame:
+    """Candidate keys led to lemmas: (query, lemma, cost, freq, source_key, place) by the forms that share a key.
+
+    ``forms`` is (form, key, lemma, lang, lemma_freq); a key may have several forms and a form
+    several lemmas.  Forms of the language itself come before those of all, and of the keys
+    that lead to one lemma the cheapest stays, with its key as ``source_key``.
+    """
+    own = F.when(F.col("lang") == "grc", 0).otherwise(1)
+    led = cands.select("query", F.col(key).alias("source_key"), "cost", "freq").join(forms.select(F.col("key").alias("source_key"), "form", "lemma", own.alias("foreign"), "lemma_freq"), "source_key")
+    best = led.groupBy("query", "lemma").agg(F.min(F.struct("cost", "foreign", (-F.col("freq")).alias("nf"), "source_key", "form")).alias("b"), F.max("lemma_freq").alias("lemma_freq"))
+    place = F.row_number().over(Window.partitionBy("query").orderBy("b.cost", "b.foreign", "b.nf", F.desc("lemma_freq"), "lemma")) - 1
+    return best.select("query", "lemma", "b.cost", (-F.col("b.nf")).alias("freq"), "lemma_freq", "b.source_key", place.alias("place"))
+
+
 def ranked(cands: DataFrame, *order: Column) -> DataFrame:
     """``rank`` from 0 by the given order, by default cost, then frequency, then word."""
     keys = order or (F.col("cost"), F.desc("freq"), F.col("word"))

@@ -61,6 +61,19 @@ def why(headword: Column, confidence: Column, summary: Column, lang: str = "en")
     return F.format_string(pattern, headword, confidence, summary)
 
 
+def explained_by_ids(pairs: DataFrame, rules: DataFrame) -> DataFrame:
+    """``pairs`` (source, target, rule_ids, distance) with ``steps`` of the named rules, each at position -1, and their ``prose``.
+
+    Steps keep the order of the ids; an id that ``rules`` (id, input, output) lacks is left out.
+    """
+    named = pairs.select("source", "target", "rule_ids", F.posexplode("rule_ids").alias("_at", "rule_id")).join(rules.select(F.col("id").alias("rule_id"), "input", "output"), "rule_id")
+    step = F.struct("_at", F.col("rule_id"), F.coalesce("input", F.lit("")).alias("input"), F.coalesce("output", F.lit("")).alias("output"), F.lit(-1).alias("position"))
+    lists = named.groupBy("source", "target", "rule_ids").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    keys = ["source", "target", "rule_ids"]
+    out = pairs.join(lists, keys, "left").withColumn("steps", F.coalesce("steps", F.array().cast(lists.schema["steps"].dataType)))
+    return out.withColumn("prose", prose(F.col("source"), F.col("target"), F.col("steps"), F.col("distance")))
+
+
 def prose(source: Column, target: Column, steps: Column, distance: Column) -> Column:
     """The canonical sentence of an explanation given by rule ids."""
     chain = F.array_join(F.transform(steps, lambda s: F.concat(s["rule_id"], F.lit(" /"), s["input"], F.lit("/ to /"), s["output"], F.lit("/"))), "; ")

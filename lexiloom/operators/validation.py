@@ -44,6 +44,36 @@ def lexicon(rows: DataFrame) -> DataFrame:
     return checks.unionByName(repeated(rows, "id"))
 
 
+def document(rows: DataFrame, schema: dict) -> DataFrame:
+    """(subject, reason) by a JSON schema of flat objects: required, type, enum, pattern, minLength and additional properties.
+
+    ``rows`` has ``id`` and one column for each property it holds, null where absent.
+    """
+    tests: dict[str, Column] = {}
+    props = schema.get("properties", {})
+    for name, rule in props.items():
+        if name not in rows.columns:
+            if name in schema.get("required", ()):
+                tests[f"no_{name}"] = F.lit(True)
+            continue
+        c = F.col(name)
+        if name in schema.get("required", ()):
+            tests[f"no_{name}"] = c.isNull()
+        if "enum" in rule:
+            tests[f"enum_{name}"] = ~c.isin([v for v in rule["enum"] if v is not None])
+        if "pattern" in rule:
+            tests[f"pattern_{name}"] = ~c.rlike(rule["pattern"])
+        if "minLength" in rule:
+            tests[f"short_{name}"] = F.length(c) < rule["minLength"]
+        kinds = rule.get("type", [])
+        if "null" not in ([kinds] if isinstance(kinds, str) else kinds) and name in schema.get("required", ()):
+            tests.setdefault(f"no_{name}", c.isNull())
+    if schema.get("additionalProperties") is False:
+        for extra in sorted(set(rows.columns) - set(props)):
+            tests[f"unknown_{extra}"] = F.col(extra).isNotNull()
+    return violations(rows, "id", **tests)
+
+
 def rule_file(rules: DataFrame) -> DataFrame:
     """Rules: id pattern, some input or output, empty input only for insertions, one row per id."""
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""

@@ -185,6 +185,20 @@ def listed(path: str | Path, key: str) -> list[dict]:
     return got
 
 
+def hard_cases(spark: SparkSession, path: str | Path) -> DataFrame:
+    """(case_id, input_form, max_candidates, visibility, note, headword, acceptable) of a single case, a list or ``cases``.
+
+    One row for each form that counts for an expected headword; a headword counts for itself.
+    """
+    rows = []
+    for c in listed(path, "cases"):
+        head = (c.get("case_id"), c.get("input_form"), c.get("max_candidates"), c.get("visibility"), c.get("note"))
+        for e in c.get("expected") or [{}]:
+            for form in dict.fromkeys([e.get("headword"), *(e.get("acceptable") or [])]):
+                rows.append((*head, e.get("headword"), form))
+    return spark.createDataFrame(rows, "case_id string, input_form string, max_candidates int, visibility string, note string, headword string, acceptable string")
+
+
 def query_lines(spark: SparkSession, path: str) -> DataFrame:
     """(query): trimmed lines without blanks and # comments."""
     q = spark.read.text(path).select(F.trim("value").alias("query"))

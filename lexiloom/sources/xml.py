@@ -2,7 +2,8 @@
 
 Files are read whole (``binaryFile``) and parsed per Arrow batch with the standard library's
 parser; documents that declare entities are refused.  A file that does not parse gives one
-row in ``failures`` and no other.
+row in ``failures`` and is read as far as its tags allow: an element left open ends with
+the one around it, an end tag without a start is passed over.
 """
 
 from __future__ import annotations
@@ -39,6 +40,39 @@ def parse(content: bytes) -> ET.Element:
     return ET.fromstring(content)
 
 
+_MARKUP = re.compile(r"<!--.*?-->|<\?.*?\?>|<!\[CDATA\[(?P<data>.*?)\]\]>|<![^>]*>|</\s*(?P<end>[^\s>]+)\s*>|<(?P<start>[^\s/>!?]+)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?P<empty>/?)>", re.S)
+_ATTRIBUTE = re.compile(r"([^\s=/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
+
+
+def recovered(content: bytes) -> ET.Element:
+    """The tree of a malformed document: open elements end with the one around them, stray end tags are passed over."""
+    from html import unescape
+
+    text = content.decode("utf-8-sig", "replace")
+    build, open_tags, at = ET.TreeBuilder(), ["recovered"], 0
+    build.start("recovered", {})
+    for m in _MARKUP.finditer(text):
+        build.data(unescape(text[at : m.start()]))
+        at = m.end()
+        if m["data"] is not None:
+            build.data(m["data"])
+        elif m["start"]:
+            build.start(m["start"].rpartition(":")[2], {k.rpartition(":")[2]: unescape(a or b) for k, a, b in _ATTRIBUTE.findall(m["attrs"])})
+            if m["empty"]:
+                build.end(m["start"])
+            else:
+                open_tags.append(m["start"])
+        elif m["end"] and m["end"] in open_tags[1:]:
+            while (name := open_tags.pop()) != m["end"]:
+                build.end(name)
+            build.end(name)
+    if "<" not in text[at:]:
+        build.data(unescape(text[at:]))
+    for name in reversed(open_tags):
+        build.end(name)
+    return build.close()
+
+
 def _rows(df: DataFrame, schema: str, rows: Callable[[str, ET.Element], Iterator[tuple]]) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -48,8 +82,10 @@ def _rows(df: DataFrame, schema: str, rows: Callable[[str, ET.Element], Iterator
             for path, content in zip(b["source_file"], b["content"], strict=True):
                 try:
                     root = parse(bytes(content))
-                except (ET.ParseError, ValueError):
+                except ValueError:
                     continue
+                except ET.ParseError:
+                    root = recovered(bytes(content))
                 out += rows(path, root)
             yield pd.DataFrame(out, columns=names).astype(object)
 

@@ -124,5 +124,6 @@ def test_catalogue(spark):
 
 
 def test_labels():
-    assert labels.label_pair("λογος", "λωγος") == ["ο~ω"] and labels.label_pair("αλος", "αλλος") == ["doubling"]
-    assert labels.label_pair("ab", "ab") == [] and labels.label_pair("", "x") == ["insert"]
+    assert labels.label_pair("λογος", "λωγος") == ["ο/ω quantity"] and labels.label_pair("αλος", "αλλος") == ["insertion (λ)"]
+    assert labels.label_pair("ab", "ab") == [] and labels.label_pair("", "x") == ["insertion (x)"] and labels.label_pair("abcd", "a") == ["deletion (long)"]
+    assert labels.label_pair("λογος", "ρογος") == ["gemination"] and labels.label_pair("κρινω", "κρεινω") == ["insertion (ε)"]

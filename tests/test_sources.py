@@ -21,11 +21,14 @@ def xml_dir(tmp_path):
     return str(tmp_path)
 
 
-def test_choices(spark, xml_dir):
+def test_choices(spark, xml_dir, tmp_path):
     f = X.files(spark, xml_dir)
     got = {(r["tm_id"], r["original"], r["regularized"], r["pair_index"]) for r in X.choices(f).collect()}
     assert got == {("123", "λώγος", "λόγος", 0), ("60002", "λώγος", "λόγος", 0)}
     assert X.failures(f).count() == 2
+    (tmp_path / "torn.xml").write_text('<TEI xmlns="x"><teiHeader><idno type="TM">77</idno><text><p><choice><reg>νό&amp;μου</reg><orig>νομου</orig></choice></body></text></TEI>')
+    torn = X.files(spark, xml_dir, "torn.xml")
+    assert [tuple(r)[1:] for r in X.choices(torn).collect()] == [("νομου", "νό&μου", "77", 0)] and X.failures(torn).count() == 1
 
 
 def test_running_text(spark, xml_dir):
