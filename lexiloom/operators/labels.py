@@ -62,7 +62,8 @@ def category(labels: Column) -> Column:
 def category_counts(rows: DataFrame, category: str, failed: Column, capitalised: Column) -> DataFrame:
     """(category, n, failed, capitalised): how often each category occurs, fails, and belongs to a capitalised lemma."""
     count = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("int"))
-    return rows.groupBy(category).agg(F.count("*").alias("n"), count(failed).alias("failed"), count(capitalised).alias("capitalised"))
+    flags = rows.select(category, failed.alias("_f"), capitalised.alias("_c"))
+    return flags.groupBy(category).agg(F.count("*").alias("n"), count(F.col("_f")).alias("failed"), count(F.col("_c")).alias("capitalised"))
 
 
 def probabilities(labelled: DataFrame, column: str = "labels") -> DataFrame:
