@@ -12,7 +12,7 @@ import unicodedata
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexiloom.functions.unicode import nfc, nfd, strip_marks, strip_pitch_marks
+from lexiloom.functions.unicode import nfc, nfd, strip_marks, strip_pitch_marks, trim_blank
 
 # Greek letters and the phones they stand for.
 LETTER_PHONES = {
@@ -269,7 +269,7 @@ def clean_markup(form: Column | str) -> Column:
     """Inline notes, editorial marks and brackets removed, what they enclose kept; Latin look-alikes repaired, composed."""
     s = F.regexp_replace(_col(form), r"\|[^|]*\|", "")
     s = F.translate(s, EDITORIAL + "<>{}❨❩", "")
-    return nfc(F.trim(F.translate(s, *LATIN_FOR_GREEK)))
+    return nfc(trim_blank(F.translate(s, *LATIN_FOR_GREEK)))
 
 
 def residue(cleaned: Column | str) -> Column:

@@ -120,14 +120,11 @@ QUERIES = {
 }
 
 # DuckDB walks the same JSON with a recursive query.
-_UNWRAP = """case when json_valid({x}) and json_type({x}) = 'VARCHAR' then json_extract_string({x}, '$') else {x} end"""
 
 
 def _walk_sql(t: str, k: str, f: str, wanted: str = "json_type(v) = 'OBJECT'") -> str:
-    x = f
-    inner = f"select {k} as row_id, {f} as x from {t} where {f} is not null"
-    for _ in range(4):
-        inner = f"select row_id, {_UNWRAP.format(x='x')} as x from ({inner})"
+    inner = f"""with recursive u(row_id, x) as (select {k}, {f} from {t} where {f} is not null
+  union all select row_id, json_extract_string(x, '$') from u where json_valid(x) and json_type(x) = 'VARCHAR') select row_id, x from u"""
     return f"""
 select '{t}' as table_name, row_id, '{f}' as field_name, node_path, owner, kind, ordinal, v from (
  with recursive w(row_id, node_path, owner, kind, ordinal, v) as (
@@ -175,11 +172,23 @@ up(ancestor_id, descendant_id, steps) as (
   union
   select l.p, u.descendant_id, u.steps + 1 from up u join links l on l.v = u.ancestor_id
   where l.p is not null and u.steps <= (select count(*) from links))
-select ancestor_id, descendant_id, min(steps)::int as steps from up where steps <= 500 group by 1, 2""",
+select ancestor_id, descendant_id, min(steps)::int as steps from up group by 1, 2""",
+    "p4_hierarchy": f"""with recursive {_LATEST},
+label as (select v, arg_max(g, (loaded_at, row_id)) as g from (select lower(trim(id)) as v, struct_pack(g := dialect_group) as g, loaded_at, row_id from buck_dialects) group by v),
+up(a, d, steps) as (
+  select p, v, 1 from links where p is not null
+  union
+  select l.p, u.d, u.steps + 1 from up u join links l on l.v = u.a where l.p is not null and u.steps <= (select count(*) from links) and u.a <> u.d),
+ring as (select distinct d as v from up where a = d),
+way(d, a, steps) as (select v, v, 0 from links union all select w.d, l.p, w.steps + 1 from way w join links l on l.v = w.a where l.p is not null and w.a not in (select v from ring)),
+per as (select d, arg_max(a, steps) as base, max(steps) as depth, string_agg(a, '/' order by steps desc) as path from way group by d)
+select d as id, case when r.v is null then base end as root, case when r.v is null then depth::int end as depth, path, coalesce(r.v = d, false) as on_cycle, r.v as cycle_entry,
+ l.g.g as label, case when r.v is null then b.g.g end as root_label
+from per left join ring r on r.v = base left join label l on l.v = d left join label b on b.v = base""",
     "p4_cycles": f"""with recursive {_LATEST},
 up(a, d, steps) as (
   select p, v, 1 from links where p is not null
   union
-  select l.p, u.d, u.steps + 1 from up u join links l on l.v = u.a where l.p is not null and u.steps < 400 and u.a <> u.d)
+  select l.p, u.d, u.steps + 1 from up u join links l on l.v = u.a where l.p is not null and u.steps <= (select count(*) from links) and u.a <> u.d)
 select c.d as id, (select min(x.a) from up x where x.d = c.d) as ring, c.steps::int as ring_size from up c where c.a = c.d""",
 }

@@ -140,12 +140,19 @@ def unit_normalized_distance(spark, d, words=query_words):
     return pairs.select("query", "word", F.round(dist, 6).alias("distance"))
 
 
+def _full(rows: DataFrame, match: Column) -> DataFrame:
+    """Full matches; generated from an array, so that the match is computed once a row."""
+    got = rows.select("query", "word", F.inline(F.filter(F.array(match), lambda m: m["full"])))
+    return got.select("query", "word", F.col("frag").cast("bigint").alias("fragments"), F.col("overlap").cast("bigint").alias("overlap"))
+
+
 def _wild(pattern: str):
     def query(spark, d):
-        q = spark.createDataFrame([(pattern,)], "query string").withColumn("p", S.wildcard_parts("query"))
-        q = q.select("query", "p.shape", S.digraph_tokens("p.left").alias("l"), S.digraph_tokens("p.right").alias("r"))
-        got = _tokens(spark, d).join(F.broadcast(q)).withColumn("m", S.wildcard_match(F.col("shape"), F.col("l"), F.col("r"), F.col("tok")))
-        return got.where("m.full").select("query", "word", F.col("m.frag").cast("bigint").alias("fragments"), F.col("m.overlap").cast("bigint").alias("overlap"))
+        p = S.wildcard_parts("query")
+        one = spark.createDataFrame([(pattern,)], "query string").select(p["shape"].alias("shape"), S.digraph_tokens(p["left"]).alias("l"), S.digraph_tokens(p["right"]).alias("r")).first()
+        tokens = lambda side: F.array(*map(F.lit, one[side])).cast("array<string>")
+        match = S.wildcard_match(F.lit(one["shape"]), tokens("l"), tokens("r"), F.col("tok"))
+        return _full(_tokens(spark, d).withColumn("query", F.lit(pattern)), match)
 
     return query
 
@@ -174,8 +181,7 @@ def _wild_all(shape: str):
         else:
             edge = F.lit(1 if shape == "prefix" else -1)
             t, q = t.withColumn("a", F.element_at("tok", edge)), q.withColumn("a", F.element_at("l" if shape == "prefix" else "r", edge))
-        got = t.join(q, ["a", "b"] if shape == "infix" else "a").withColumn("m", S.wildcard_match(F.col("shape"), F.col("l"), F.col("r"), F.col("tok")))
-        return got.where("m.full").select("query", "word", F.col("m.frag").cast("bigint").alias("fragments"), F.col("m.overlap").cast("bigint").alias("overlap"))
+        return _full(t.join(q, ["a", "b"] if shape == "infix" else "a"), S.wildcard_match(F.col("shape"), F.col("l"), F.col("r"), F.col("tok")))
 
     return query
 
@@ -347,7 +353,7 @@ def discordant_counts(spark, d):
 
 def mcnemar(spark, d):
     got = evaluation.discordant(_hits(spark, d), "a", "b")
-    return got.withColumn("p_value", evaluation.mcnemar_p("only_a", "only_b"))
+    return got.withColumn("p_value", F.round(evaluation.mcnemar_p("only_a", "only_b"), 9))
 
 
 def cluster_bootstrap(spark, d):
@@ -411,9 +417,11 @@ def catalog_filter_page(spark, d):
 
 
 def catalog_foreign_keys(spark, d):
-    """Glossary entries whose rule is in no rule row."""
-    got = catalogue.missing_keys(table(spark, d, "buck_glossary"), "rule_id", table(spark, d, "buck_rules"), "id")
-    return got.select("entry_id", "rule_id")
+    """Glossary entries whose rule is in no rule row, or whose dialect in no dialect row."""
+    entries = table(spark, d, "buck_glossary").withColumn("dialect", F.lower(F.trim("dialect")))
+    known = table(spark, d, "buck_dialects").select(F.lower(F.trim("id")).alias("id"))
+    no_rule = catalogue.missing_keys(entries, "rule_id", table(spark, d, "buck_rules"), "id").select("entry_id", F.lit("rule_id").alias("key"), F.col("rule_id").alias("value"))
+    return no_rule.unionByName(catalogue.missing_keys(entries, "dialect", known, "id").select("entry_id", F.lit("dialect").alias("key"), F.col("dialect").alias("value")))
 
 
 def left_enrich_array(spark, d):
@@ -463,6 +471,14 @@ def sw_search(spark, d):
     )
 
 
+def search_self(spark, d):
+    """Every standard form searched among the standard forms: it is its own best match, or sounds like it."""
+    forms = table(spark, d, "word_forms").where("kind = 'standard' and form not like '%-%' and form not like '%*%'")
+    lex = forms.select(F.col("form_id").cast("string").alias("id"), F.col("form").alias("headword"), S.to_ipa("form").alias("ipa"), F.lit("attic").alias("dialect"))
+    got = P.search(forms.select(F.col("form_id").alias("qid"), F.col("form").alias("query")), P.prepare_lexicon(lex, profiles.GREEK), profiles.GREEK, results=1)
+    return got.select("qid", "query", F.col("rank").cast("bigint").alias("rank"), "confidence", "match_type", "uncertainty", "bucket")
+
+
 def record_search(spark, d):
     """Spellings of every record whose id is divisible by 20, searched among all word forms: the best headword of each."""
     rows = table(spark, d, "choice_records").where("record_id % 20 = 0 and trim(original) <> ''").select("record_id", "original")
@@ -513,7 +529,7 @@ def weighted_edit_distance(spark, d):
 
 def alternation_probabilities(spark, d):
     c = table(spark, d, "correspondence_entries").select("original", "normalized")
-    return labels.probabilities(c.select(labels.alternations(S.base_key("original"), S.base_key("normalized")).alias("labels")))
+    return labels.probabilities(c.select(labels.alternations(F.col("original"), F.col("normalized")).alias("labels")))
 
 
 def _with(query, words):
@@ -534,7 +550,7 @@ QUERIES = {
     "rank_percentiles": rank_percentiles, "discordant_counts": discordant_counts, "facet_three_valued": facet_three_valued, "failure_buckets": failure_buckets,
     "latency_percentiles": latency_percentiles, "ols_fit": ols_fit, "match_type_buckets": match_type_buckets, "hierarchy_rules": hierarchy_rules, "catalog_filter_page": catalog_filter_page,
     "catalog_foreign_keys": catalog_foreign_keys, "left_enrich_array": left_enrich_array, "drop_reasons": drop_reasons,
-    "sw_search": sw_search, "record_search": record_search, "explain_rules": explain_rules, "weighted_edit_distance": weighted_edit_distance, "learned_log_odds": learned_log_odds, "cluster_bootstrap": cluster_bootstrap,
+    "sw_search": sw_search, "search_self": search_self, "record_search": record_search, "explain_rules": explain_rules, "weighted_edit_distance": weighted_edit_distance, "learned_log_odds": learned_log_odds, "cluster_bootstrap": cluster_bootstrap,
     "mcnemar": mcnemar, "form_keys": form_keys, "markup_classes": markup_classes, "alternation_probabilities": alternation_probabilities,
 }
 QUERIES |= {f"{n}_all": _with(QUERIES[n], row_words) for n in SEARCHES} | {f"{n}_all": _with(QUERIES[n], all_words) for n in JOINS}
@@ -585,6 +601,8 @@ def _split_sql(part: str, source: str) -> str:
 select doc_id, case when coalesce(sum(n_chars) over (partition by s order by h, doc_id rows between unbounded preceding and 1 preceding), 0) < 0.30 * sum(n_chars) over (partition by s) then 'dev' else 'test' end as split from x"""
 
 
+_CLEAN = r"""nfc_normalize(regexp_replace(translate(translate(regexp_replace({0}, '\|[^|]*\|', '', 'g'), '̣∼∽∤⸢⸣⸤⸥⊢⊣⋰⋱〚〛⟦⟧⸌⸍⸮?!()[]⎴⎵⸜⸝⦑⦒⧼…⁽⁾-~<>{{}}❨❩' || chr(57792), ''), 'ocABEZHIKMNOPTXY', 'οϲΑΒΕΖΗΙΚΜΝΟΡΤΧΥ'),
+ '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'))"""
 ORACLE_SQL = {
     "lexicon_tokens": f"with {_W} select word, freq, array_to_string(tok, ' ') as tokens, len(tok) as n_tokens from t",
     "consonant_skeleton": f"with {_W} select word, array_to_string(sk, ' ') as skeleton from s",
@@ -643,10 +661,16 @@ select match_type, uncertainty, case when match_type in ('Exact', 'Rule-based')
     "hierarchy_rules": f"""with recursive {_LATEST},
 lr as (select v, arg_max(rules, (loaded_at, row_id)) as rules from (select lower(trim(id)) as v, rules, loaded_at, row_id from buck_dialects) group by 1),
 own as (select distinct v, unnest(rules) as rule from lr),
-up(a, d, steps) as (select p, v, 1 from links where p is not null union select l.p, u.d, u.steps + 1 from up u join links l on l.v = u.a where l.p is not null and u.steps < 400 and u.a <> u.d)
+up(a, d, steps) as (select p, v, 1 from links where p is not null union select l.p, u.d, u.steps + 1 from up u join links l on l.v = u.a where l.p is not null and u.steps <= (select count(*) from links) and u.a <> u.d)
 select d as dialect, rule, min(steps)::bigint as depth from (select d, rule, steps from up join own on own.v = up.a union all select v, rule, 0 from own) group by 1, 2""",
+    "mcnemar": """with x as (select count(*) filter (a and not b) as only_a, count(*) filter (b and not a) as only_b from (select hits_a / n_tokens >= 0.5 as a, coalesce(hits_b, 0) / n_tokens >= 0.5 as b from results_lm_paired where n_tokens > 0))
+select only_a, only_b, round(least(1.0, 2 * (select sum(exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2.0::double))) from (select unnest(range(least(only_a, only_b) + 1)) as i))), 9) as p_value from x""",
+    "markup_classes": f"""with w as (select original as o, {_CLEAN.format('original')} as a, {_CLEAN.format('regularized')} as b from choice_records where regularized is not null)
+select case when regexp_matches(o, '[❨❩]') then 'abbrev' when a = b then 'clean' else 'variant' end as class, regexp_matches(a, '(?s)[^\\x{{300}}-\\x{{3ff}}\\x{{1f00}}-\\x{{1fff}}ʼ’'']') as has_residue, count(*) as n from w group by 1, 2""",
+    "search_self": "select form_id as qid, form as query, 1::bigint as rank, 1.0::double as confidence, 'Exact' as match_type, 'Low' as uncertainty, 'Supported' as bucket from word_forms where kind = 'standard' and form not like '%-%' and form not like '%*%'",
     "catalog_filter_page": "select p_partkey, p_name, p_brand, total from (select p_partkey, p_name, p_brand, count(*) over () as total from part where p_brand = 'Brand#13') order by p_name, p_partkey limit 20 offset 10",
-    "catalog_foreign_keys": "select entry_id, rule_id from buck_glossary where rule_id is not null and rule_id not in (select id from buck_rules where id is not null)",
+    "catalog_foreign_keys": """select entry_id, 'rule_id' as key, rule_id as value from buck_glossary where rule_id is not null and rule_id not in (select id from buck_rules where id is not null)
+union all select entry_id, 'dialect', lower(trim(dialect)) from buck_glossary where dialect is not null and lower(trim(dialect)) not in (select lower(trim(id)) from buck_dialects where id is not null)""",
     "left_enrich_array": "select o_orderkey, coalesce(string_agg(l_linenumber::varchar, ',' order by l_linenumber, l_partkey), '') as line_numbers, count(l_orderkey) as n_lines from orders left join lineitem on l_orderkey = o_orderkey group by 1",
     "drop_reasons": """select reason, count(*) as n from (select unnest(list_filter([case when n_chars < 200 then 'short' end, case when n_chars > 10000 then 'long' end, case when lang is null then 'no_lang' end,
 case when source is null then 'no_source' end, case when not regexp_matches(text, '[a-z]{3}') then 'no_words' end], lambda x: x is not null)) as reason from documents) group by 1""",

@@ -4,12 +4,12 @@ import os
 
 import pytest
 
-from lexiloom.plans import data_queries, reference_queries
+from lexiloom.plans import data_queries, fixture_queries, reference_queries
 
 D = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(D), reason="no test tables here")
-QUERIES = reference_queries.QUERIES | data_queries.QUERIES
-SQL = reference_queries.ORACLE_SQL | data_queries.ORACLE_SQL
+QUERIES = reference_queries.QUERIES | data_queries.QUERIES | fixture_queries.QUERIES
+SQL = reference_queries.ORACLE_SQL | data_queries.ORACLE_SQL | fixture_queries.ORACLE_SQL
 
 
 @pytest.fixture(scope="module")
