@@ -269,14 +269,25 @@ def _grams(n: int, whole: bool = False):
 
 def stupid_backoff(spark, d):
     """Scores of every trigram that ends a sentence."""
-    s = _sentences(spark, d)
-    uni, bi, tri = (ngrams.counts(s, "tok", n) for n in (1, 2, 3))
+    tri = Scratch(spark, "backoff").write(ngrams.counts(_sentences(spark, d), "tok", 3), "trigrams")
+    uni, bi, _ = _rolled_up(tri)
     ends = tri.where(F.col("w3") == ngrams.EOS).select("w1", "w2", "w3")
     total = uni.agg(F.sum("count").alias("total"))
     scored = ngrams.backoff(ends.join(F.broadcast(total)), uni, bi, tri, F.col("total"))
     return scored.select("w1", "w2", F.round("score", 6).alias("score"))
 
 
+def _rolled_up(tri: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Counts of words, of word pairs and of the two opening marks, from those of trigrams: the documents are read once.
+
+    Every shorter gram but the opening marks ends one trigram.
+    """
+    bi = tri.groupBy(F.col("w2").alias("w1"), F.col("w3").alias("w2")).agg(F.sum("count").alias("count"))
+    opening = tri.where((F.col("w1") == ngrams.BOS) & (F.col("w2") == ngrams.BOS)).groupBy("w1", "w2").agg(F.sum("count").alias("count"))
+    uni = tri.groupBy(F.col("w3").alias("w1")).agg(F.sum("count").alias("count")).unionByName(opening.select("w1", (2 * F.col("count")).alias("count")))
+    return uni, bi, opening
+
+
 def stupid_backoff_all(spark, d):
     """Scores of every trigram of all documents; the counts leave out documents whose id is divisible by 20, so theirs back off.
 
@@ -286,11 +297,8 @@ def stupid_backoff_all(spark, d):
     s = _whole_sentences(docs, "counted").where(F.size("tok") > 0)
     seen = s.select("counted", F.inline(ngrams.ngrams("tok", 3)).alias("w1", "w2", "w3")).groupBy("w1", "w2", "w3").agg(F.sum("counted").alias("count"))
     triples = Scratch(spark, "backoff").write(seen, "seen")
-    # every shorter gram but the opening marks ends one trigram, so the documents are read once
     tri = triples.where("count > 0")
-    bi = tri.groupBy(F.col("w2").alias("w1"), F.col("w3").alias("w2")).agg(F.sum("count").alias("count"))
-    opening = tri.where((F.col("w1") == ngrams.BOS) & (F.col("w2") == ngrams.BOS)).groupBy("w1", "w2").agg(F.sum("count").alias("count"))
-    uni = tri.groupBy(F.col("w3").alias("w1")).agg(F.sum("count").alias("count")).unionByName(opening.select("w1", (2 * F.col("count")).alias("count")))
+    uni, bi, opening = _rolled_up(tri)
     total = uni.agg(F.sum("count").alias("total"))
     scored = ngrams.backoff(triples.drop("count").join(F.broadcast(total)), uni, bi.unionByName(opening), tri, F.col("total"))
     return scored.select("w1", "w2", "w3", F.round("score", 6).alias("score"))

@@ -10,6 +10,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -44,14 +46,30 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_scopes: list[list[Scratch]] = []
+
+
+@contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Drops, when left, the tables of all queries planned inside; their results must have been taken by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for scratch in _scopes.pop():
+            scratch.close()
+
+
 class Scratch:
-    """Tables written for one query; superseded ones are dropped at once, the rest at exit."""
+    """Tables written for one query; superseded ones are dropped at once, the rest by ``close``, its scope or at exit."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.schemas: dict[str, StructType] = {}
         atexit.register(self.close)
+        if _scopes:
+            _scopes[-1].append(self)
 
     def write(self, df: DataFrame, name: str, by: str | None = None, row_group: int | None = None) -> DataFrame:
         """Write ``df`` as ``name``, in folders ``by`` a column if given, and return it read back, without its lineage.
@@ -82,6 +100,7 @@ class Scratch:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
     def close(self) -> None:
+        atexit.unregister(self.close)
         try:
             self.drop()
         except Exception:  # the session has ended already
