@@ -26,7 +26,8 @@ def lagged(df: DataFrame, key: str, order: list[str], value: str, depth: int, de
     kept = [F.col(c).alias(c) for c in df.columns]
     placed = df.repartitionByRange(n, key, *order).select(*kept, F.spark_partition_id().alias("_part"))
     # written, as a recomputed partition must hold the same rows
-    placed = Scratch(spark, "lagged").write(placed, "placed")
+    scratch = Scratch(spark, "lagged")
+    placed = scratch.write(placed, "placed")
 
     own = Window.partitionBy("_part", key).orderBy(*order)
     boxed = F.struct(F.col(value).alias("v"))
@@ -35,9 +36,10 @@ def lagged(df: DataFrame, key: str, order: list[str], value: str, depth: int, de
         rows = rows.withColumn(f"_lag{k}", F.lag(boxed, k).over(own))
 
     group = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"))
-    opens = placed.groupBy("_part").agg(F.min(group).alias("_g")).select("_g").distinct()
+    # at most one row a part, and of each part's first and last groups few: written, so the planner knows their size
+    opens = scratch.write(placed.groupBy("_part").agg(F.min(group).alias("_g")).select("_g").distinct(), "opens")
     back = Window.partitionBy("_part", key).orderBy(*[F.col(o).desc() for o in order])
-    ends = placed.withColumn("_g", group).join(F.broadcast(opens), "_g", "left_semi")
+    ends = placed.withColumn("_g", group).join(opens, "_g", "left_semi")
     ends = ends.withColumn("_back", F.row_number().over(back)).where(F.col("_back") <= depth)
     tails = ends.groupBy("_part", "_g").agg(F.sort_array(F.collect_list(F.struct("_back", boxed.alias("b")))).alias("_t"))
     tails = tails.select("_part", "_g", F.transform("_t", lambda x: x["b"]).alias("_t"))
@@ -45,7 +47,8 @@ def lagged(df: DataFrame, key: str, order: list[str], value: str, depth: int, de
     before = Window.partitionBy("_g").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     context = tails.select("_part", "_g", F.slice(F.flatten(F.reverse(F.collect_list("_t").over(before))), 1, depth).alias("_ctx"))
 
-    joined = rows.withColumn("_g", group).join(F.broadcast(context), ["_part", "_g"], "left")
+    context = scratch.write(context, "context")
+    joined = rows.withColumn("_g", group).join(context, ["_part", "_g"], "left")
 
     def look(k: int) -> Column:
         place = F.lit(k) - F.col("_rn")

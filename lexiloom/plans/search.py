@@ -141,12 +141,12 @@ def proximity(queries: DataFrame, lexicon: DataFrame, cap: int = FALLBACK) -> Da
     for ``cap`` entries, so only those lengths are joined, by equality.
     """
     sizes = lexicon.groupBy("n_tokens").agg(F.count("*").alias("have"))
-    q = queries.select("qid", "q_len", "q_ipa")
-    band = q.select("qid", "q_len", "q_ipa").join(F.broadcast(sizes), F.lit(True))
-    order = Window.partitionBy("qid").orderBy(F.abs(F.col("n_tokens") - F.col("q_len")))
+    # distinct lengths of both sides: bounded by the longest word, whatever their numbers
+    band = queries.select("q_len").distinct().join(sizes, F.lit(True))
+    order = Window.partitionBy("q_len").orderBy(F.abs(F.col("n_tokens") - F.col("q_len")))
     band = band.withColumn("_seen", F.sum("have").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)) - F.sum("have").over(order.rangeBetween(0, 0)))
-    band = band.where(F.col("_seen") < cap).select("qid", "q_len", "q_ipa", "n_tokens")
-    rows = lexicon.select("id", "n_tokens", "ipa").join(band, "n_tokens")
+    band = band.where(F.col("_seen") < cap).select("q_len", "n_tokens")
+    rows = lexicon.select("id", "n_tokens", "ipa").join(queries.select("qid", "q_len", "q_ipa").join(band, "q_len"), "n_tokens")
     pos = F.row_number().over(Window.partitionBy("qid").orderBy(F.abs(F.col("n_tokens") - F.col("q_len")), F.col("ipa") != F.col("q_ipa"), "id"))
     return rows.withColumn("pos", pos).where(F.col("pos") <= cap).select("qid", "id", "pos")
 
