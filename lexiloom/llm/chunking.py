@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexiloom.llm.tokens import VOCABULARY, encode, encoding
+from lexiloom.llm.tokens import VOCABULARY, arrived, encode, encoding, ship
 
 LIMIT, OVERLAP = 2048, 128
 
@@ -96,8 +96,10 @@ def pieces(df: DataFrame, id_col: str = "doc_id", text: str = "text", limit: int
     kind = df.schema[id_col].dataType.simpleString()
     schema = f"`{id_col}` {kind}, piece int, char_start int, new_start int, char_end int, n_tokens int, piece_text string"
 
+    ship(df.sparkSession, path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoding(path)
+        enc = encoding(arrived(path))
         for b in batches:
             rows: list[tuple] = []
             for k, (i, t) in enumerate(zip(b.column(0), b.column(1).to_pylist(), strict=True)):
