@@ -3,8 +3,8 @@
 Files and the papyri their records name form a bipartite graph.  Its distinct edges are
 far fewer than the records and are built with map-side combining, so a file or papyrus
 with a third of all records is one node with few edges.  Minimum labels are propagated
-from files to papyri and back, with one pointer jump a round so that long chains need
-few rounds; each round's labels are one written table, earlier ones are dropped.
+from files to papyri and back, with one pointer jump a round and the old label's own file
+hooked to the new one, so that long chains need few rounds; each round's labels are one written table, earlier ones are dropped.
 
 Whole components are then assigned to splits, stratified by label: components above a
 size threshold one by one, the rest in hashed buckets per leading label, always to the
@@ -56,7 +56,12 @@ def edges(records: DataFrame, file_col: str = "source_file", entity_col: str = "
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(f, label): minimum-label propagation over the bipartite links (f, e)."""
+    """(f, label): minimum-label propagation over the bipartite links (f, e).
+
+    In a round each file takes the least label of its label and of its neighbours' labels,
+    and so does the file its old label names: whole groups move at once, and the number of
+    rounds stays logarithmic also for long chains in any order.
+    """
     links = scratch.write(links, "links")
     # an entity of one file ties nothing
     shared = links.groupBy("e").agg(F.count("*").alias("n")).where("n > 1").select("e")
@@ -68,16 +73,16 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     labels, moved = scratch.write_counted(files.select("id", F.col("id").alias("label"), F.lit(True).alias("moved")), name, "moved")
     while moved:
         turn += 1
-        up = ties.join(labels.select("id", "label"), "id").groupBy("e").agg(F.min("label").alias("label"))
-        down = ties.join(up, "e").groupBy("id").agg(F.min("label").alias("low"))
+        # a label is a file's id, so its own label leads further
         jump = labels.select(F.col("id").alias("_j"), F.col("label").alias("far"))
-        # a label is a file's id, so its own label may lead further; every file has a tie, so none is lost
-        new = (
-            labels.select("id", F.col("label").alias("old"))
-            .join(down, "id")
-            .join(jump, F.col("low") == F.col("_j"))
-            .select("id", F.least("old", "low", "far").alias("label"), (F.least("old", "low", "far") < F.col("old")).alias("moved"))
-        )
+        far = labels.select("id", "label").join(jump, F.col("label") == F.col("_j")).select("id", "label", "far")
+        up = ties.join(far.select("id", "far"), "id").groupBy("e").agg(F.min("far").alias("far"))
+        low = ties.join(up, "e").groupBy("id").agg(F.min("far").alias("low"))
+        # every file has a tie, so none is lost
+        state = far.join(low, "id")
+        hooks = state.groupBy(F.col("label").alias("_h")).agg(F.min("low").alias("hook"))
+        best = F.least("far", "low", F.coalesce("hook", "low"))
+        new = state.join(hooks, F.col("id") == F.col("_h"), "left").select("id", best.alias("label"), (best < F.col("label")).alias("moved"))
         labels, moved = scratch.write_counted(new, f"labels{turn}", "moved")
         scratch.drop(name)
         name = f"labels{turn}"

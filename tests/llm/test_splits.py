@@ -93,3 +93,13 @@ def test_empty(spark):
     comps = splits.components(splits.edges(empty), Scratch(spark, "test"))
     assert comps.count() == 0
     assert splits.assign_splits(spark.createDataFrame([], "component string, label string, n long"), {"train": 1.0}).count() == 0
+
+
+def test_long_chain_in_any_order_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    counted = Scratch.write_counted
+    monkeypatch.setattr(Scratch, "write_counted", lambda self, df, name, condition: rounds.append(name) or counted(self, df, name, condition))
+    rows = [(i, f"f{i}", f"{i + 1} {i + 2}") for i in range(3000)]
+    random.Random(5).shuffle(rows)
+    g = groups(spark, rows)
+    assert len(set(g.values())) == 1 and len(rounds) < 20
