@@ -62,6 +62,11 @@ def matrix_column(matrix: Matrix) -> Column:
 
 
 def _table(a: Column, b: Column, cost, gap: float) -> Column:
+    """The last cell of the distance table; the two sides are bound first, so that they are computed once a pair."""
+    return F.element_at(F.transform(F.array(F.struct(a.alias("a"), b.alias("b"))), lambda s: _last_cell(s["a"], s["b"], cost, gap)), 1)
+
+
+def _last_cell(a: Column, b: Column, cost, gap: float) -> Column:
     n = F.size(b)
     first = F.transform(F.sequence(F.lit(0), n), lambda j: j * F.lit(gap))
 
