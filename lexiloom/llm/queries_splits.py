@@ -64,14 +64,20 @@ def p5_split_broken(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_split_deviation(spark: SparkSession, d: str) -> DataFrame:
-    """Labels of at least a thousandth of all records, and all records, whose share of a split is more than 3 points off its target."""
-    counts = _assigned(spark, d).groupBy("label").pivot("split", list(TARGETS)).count().na.fill(0)
-    whole = counts.select(F.lit("all").alias("label"), *[F.sum(k).alias(k) for k in TARGETS])
+    """Labels of at least a thousandth of all records, and all records, that miss a target by more than 3 points.
+
+    Where one component holds more than that of a label, by more than that component, as it cannot be cut.
+    """
+    rows = _assigned(spark, d)
+    sized = rows.groupBy("component", "label", "split").agg(F.count("*").alias("n"))
+    labelled = sized.groupBy("label").agg(F.max("n").alias("largest"), *[F.sum(F.when(F.col("split") == k, F.col("n")).otherwise(0)).alias(k) for k in TARGETS])
+    whole = sized.groupBy("component", "split").agg(F.sum("n").alias("n"))
+    whole = whole.agg(F.max("n").alias("largest"), *[F.sum(F.when(F.col("split") == k, F.col("n")).otherwise(0)).alias(k) for k in TARGETS])
     n = sum((F.col(k) for k in TARGETS), F.lit(0))
     # as many rows as labels; that of all records is the largest
-    rows = counts.unionByName(whole).withColumn("n", n).withColumn("total", F.max("n").over(Window.partitionBy())).where("n >= total / 1000")
-    off = F.greatest(*[F.abs(F.col(k) / F.col("n") - share) for k, share in TARGETS.items()])
-    return rows.select("label", F.round(off, 6).alias("deviation")).where("deviation > 0.03")
+    out = labelled.unionByName(whole.withColumn("label", F.lit("all"))).withColumn("n", n).withColumn("total", F.max("n").over(Window.partitionBy())).where("n >= total / 1000")
+    off = F.greatest(*[F.abs(F.col(k) - F.col("n") * share) for k, share in TARGETS.items()])
+    return out.withColumn("deviation", F.round(F.try_divide(off, F.col("n")), 6)).where(off > F.greatest(F.col("n") * 0.03, F.col("largest"))).select("label", "deviation")
 
 
 QUERIES = {"p5_conflicts": p5_conflicts, "p5_split_broken": p5_split_broken, "p5_split_deviation": p5_split_deviation, "p5_found": p5_found, "p5_split": p5_split, "p5_split_report": p5_split_report}
