@@ -498,6 +498,17 @@ def record_search(spark, d):
     return rows.withColumn("query", F.regexp_replace("original", S.MARKER, " ")).join(best, "query", "left").select("record_id", "headword", "confidence", "match_type", "path")
 
 
+def growing_search(spark, d):
+    """Spellings of every record whose id is divisible by 20, searched among the distinct regularised texts of all records: both sides grow."""
+    c = table(spark, d, "choice_records")
+    words = lambda column: F.explode(F.array_distinct(F.regexp_extract_all(column, F.lit(r"([\p{IsGreek}\p{M}]+)"), 1)))
+    lex = c.select(words("regularized").alias("headword")).distinct()
+    lex = lex.select(F.col("headword").alias("id"), "headword", S.to_ipa("headword").alias("ipa"), F.lit("attic").alias("dialect"))
+    queries = c.where("record_id % 20 = 0").select(words("original").alias("query")).distinct().select(F.sha2("query", 256).alias("qid"), "query")
+    best = P.search(queries, P.prepare_lexicon(lex, profiles.GREEK), profiles.GREEK, rules.compile_rules(RULES), results=1)
+    return best.select("query", "headword", F.round("confidence", 6).alias("confidence"), "match_type", "path")
+
+
 # Own small rule set over the spelling alternations of the test data.
 RULES = [
     {"id": "VOW-001", "name_en": "e and ai", "input": "e", "output": "ai", "dialects": ["koine"]},
@@ -558,7 +569,7 @@ QUERIES = {
     "rank_percentiles": rank_percentiles, "discordant_counts": discordant_counts, "facet_three_valued": facet_three_valued, "failure_buckets": failure_buckets,
     "latency_percentiles": latency_percentiles, "ols_fit": ols_fit, "match_type_buckets": match_type_buckets, "hierarchy_rules": hierarchy_rules, "catalog_filter_page": catalog_filter_page,
     "catalog_foreign_keys": catalog_foreign_keys, "left_enrich_array": left_enrich_array, "drop_reasons": drop_reasons,
-    "sw_search": sw_search, "search_self": search_self, "record_search": record_search, "explain_rules": explain_rules, "weighted_edit_distance": weighted_edit_distance, "learned_log_odds": learned_log_odds, "cluster_bootstrap": cluster_bootstrap,
+    "sw_search": sw_search, "search_self": search_self, "record_search": record_search, "growing_search": growing_search, "explain_rules": explain_rules, "weighted_edit_distance": weighted_edit_distance, "learned_log_odds": learned_log_odds, "cluster_bootstrap": cluster_bootstrap,
     "mcnemar": mcnemar, "form_keys": form_keys, "markup_classes": markup_classes, "alternation_probabilities": alternation_probabilities,
 }
 QUERIES |= {f"{n}_all": _with(QUERIES[n], row_words) for n in SEARCHES} | {f"{n}_all": _with(QUERIES[n], all_words) for n in JOINS}
