@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 #: Largest reference document parsed on the driver.
 MAX_BYTES = 64 * 1024 * 1024
 
+#: Lines of one file whose sentences one task numbers.
+LINE_BLOCK = 100_000
+
 LEMMA = "id string, headword string, transliteration string, ipa string, pos string, gender string, gloss string, dialect string"
 RECORD = "original string, regularized string, source_file string, tm_id string, pair_index int"
 RULE = "file string, ordinal int, id string, name_en string, input string, output string, context string, dialects array<string>, is_insertion boolean, lemma_constraints string"
@@ -214,13 +217,16 @@ def key_value_counts(spark: SparkSession, path: str) -> DataFrame:
 def sentences_from_lines(lines: DataFrame, boundary: str, token: str, file: str = "file", at: str = "n") -> DataFrame:
     """(file, sentence, tokens): tokens matched line by line, a new sentence at each boundary line.
 
-    ``lines`` has file, n (line number) and value.
+    ``lines`` has file, n (line number) and value.  Boundaries are counted by blocks of lines
+    first and within a block after, so that no file is one task's.
     """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(file).orderBy(at)
-    found = F.regexp_extract("value", token, 1)
-    marked = lines.withColumn("sentence", F.sum(F.col("value").rlike(boundary).cast("int")).over(w)).withColumn("_t", found)
+    rows = lines.select(file, at, F.floor(F.col(at) / LINE_BLOCK).alias("_b"), F.coalesce(F.col("value").rlike(boundary), F.lit(False)).cast("int").alias("_new"), F.regexp_extract("value", token, 1).alias("_t"))
+    blocks = rows.groupBy(file, "_b").agg(F.sum("_new").alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy(file).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = rows.join(blocks.select(file, "_b", earlier.alias("_before")), [file, "_b"])
+    marked = rows.withColumn("sentence", F.col("_before") + F.sum("_new").over(Window.partitionBy(file, "_b").orderBy(at)))
     toks = F.transform(F.array_sort(F.collect_list(F.struct(at, "_t"))), lambda x: x["_t"])
     return marked.where("_t <> ''").groupBy(file, "sentence").agg(toks.alias("tokens"))
 

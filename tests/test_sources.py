@@ -125,6 +125,15 @@ def test_sinks(spark, tmp_path):
         sinks.lexicon_summary(mixed).collect()
 
 
+@pytest.mark.parametrize("block", [2, 100_000])
+def test_sentences_across_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(D, "LINE_BLOCK", block)
+    values = ["a", "<s>", "b", "", None, "c", "<s>", "<s>", "d"]
+    lines = spark.createDataFrame([(f, i, v) for f in "xy" for i, v in enumerate(values)], "file string, n int, value string").repartition(3)
+    got = sorted((r["file"], r["sentence"], list(r["tokens"])) for r in D.sentences_from_lines(lines, "^<s>", "^([a-z])$").collect())
+    assert got == [(f, k, t) for f in "xy" for k, t in ((0, ["a"]), (1, ["b", "c"]), (3, ["d"]))]
+
+
 def test_flagged_pairs(spark, tmp_path):
     (tmp_path / "7.xml").write_text(
         "<TEI><choice><reg>λόγος</reg><orig>λώ<supplied>γ</supplied>ος</orig></choice><choice><sic>α</sic><corr>ε</corr></choice>"
