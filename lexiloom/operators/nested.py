@@ -52,18 +52,28 @@ def unwrap(text: str) -> str:
     return f"case when {quoted.format(text)} then aggregate(sequence(1, {most}), {text}, (u, i) -> {once}) else {text} end"
 
 
-def _node(path: str, parent: str, key: str, idx: str, value: str) -> str:
-    return f"""named_struct('path', {path}, 'parent', {parent}, 'key', {key}, 'idx', {idx},
-  'obj', try_variant_get({value}, '$', 'map<string,variant>'), 'arr', try_variant_get({value}, '$', 'array<variant>'), 'value', {value})"""
+def _node(path: str, parent: str, key: str, idx: str, value: str, taken: str = "") -> str:
+    """A node; ``taken`` is a struct that holds its value taken apart already."""
+    obj, arr = (f"{taken}.obj", f"{taken}.arr") if taken else (f"try_variant_get({value}, '$', 'map<string,variant>')", f"try_variant_get({value}, '$', 'array<variant>')")
+    return f"named_struct('path', {path}, 'parent', {parent}, 'key', {key}, 'idx', {idx}, 'obj', {obj}, 'arr', {arr}, 'value', {value})"
 
 
-_CHILDREN = f"""
+_TAKEN = "named_struct('key', {0}, 'idx', {1}, 'obj', try_variant_get({2}, '$', 'map<string,variant>'), 'arr', try_variant_get({2}, '$', 'array<variant>'), 'value', {2})"
+
+
+def _children(scalars: bool) -> str:
+    """All children of a level's nodes; without scalars no place is spelt out for them."""
+    chosen = lambda items: items if scalars else f"filter({items}, x -> x.obj is not null or x.arr is not null)"
+    in_obj = chosen(f"transform(map_entries(n.obj), e -> {_TAKEN.format('e.key', 'cast(null as int)', 'e.value')})")
+    in_arr = chosen(f"transform(n.arr, (v, i) -> {_TAKEN.format('n.key', 'i', 'v')})")
+    return f"""
 flatten(transform(acc.level, n -> case
-  when n.obj is not null then transform(map_entries(n.obj), e -> {_node("concat(n.path, '.', e.key)", "n.path", "e.key", "cast(null as int)", "e.value")})
-  when n.arr is not null then transform(n.arr, (x, i) -> {_node("concat(n.path, '[', i, ']')", "n.parent", "n.key", "i", "x")})
+  when n.obj is not null then transform({in_obj}, x -> {_node("concat(n.path, '.', x.key)", "n.path", "x.key", "x.idx", "x.value", "x")})
+  when n.arr is not null then transform({in_arr}, x -> {_node("concat(n.path, '[', x.idx, ']')", "n.parent", "x.key", "x.idx", "x.value", "x")})
   else cast(array() as array<{NODE}>) end))
 """
 
+
 # a text is no deeper than it has opening brackets
 _OPENING = "'[{'"
 _WALK = f"""
@@ -72,23 +82,23 @@ aggregate(
   named_struct('found', cast(array() as array<{{found}}>), 'level', cast(array({_node("_field", "cast(null as string)", "_field", "cast(null as int)", "root")}) as array<{NODE}>)),
   (acc, i) -> if(size(acc.level) = 0, acc, named_struct(
     'found', concat(acc.found, cast(transform(filter(acc.level, n -> {{wanted}}), n -> {{kept}}) as array<{{found}}>)),
-    'level', {_CHILDREN})),
+    'level', {{children}})),
   acc -> acc.found)
 """
 _PLACE = "path:string,parent:string,key:string,idx:int"
 _KEPT = "named_struct('path', n.path, 'parent', n.parent, 'key', n.key, 'idx', n.idx{more})"
 
 
-def _walk(wanted: str, more: str = "", kind: str = "") -> str:
+def _walk(wanted: str, more: str = "", kind: str = "", scalars: bool = False) -> str:
     found = f"struct<{_PLACE}{kind}>"
-    walk = _WALK.replace("{found}", found).replace("{wanted}", wanted).replace("{kept}", _KEPT.replace("{more}", more))
+    walk = _WALK.replace("{children}", _children(scalars)).replace("{found}", found).replace("{wanted}", wanted).replace("{kept}", _KEPT.replace("{more}", more))
     value = _let("root", complete("text"), f"case when root is not null then {walk} end")
     return _let("text", unwrap("_text"), rf"case when text rlike '^\\s*[\\[{{]' then {value} end")
 
 
 _OBJECTS = _walk("n.obj is not null", ", 'node', n.obj", ",node:map<string,variant>")
 _PLACES = _walk("n.obj is not null")
-_SCALARS = _walk("n.obj is null and n.arr is null", ", 'node', n.value", ",node:variant")
+_SCALARS = _walk("n.obj is null and n.arr is null", ", 'node', n.value", ",node:variant", scalars=True)
 
 
 def json_objects(df: DataFrame, keys: list[str], field: str | list[str], kind: str | None = None, node: bool = True) -> DataFrame:
