@@ -48,3 +48,23 @@ def test_long_words_take_no_row_for_each_shared_kmer(spark, tmp_path):
     rows = R.QUERIES["seed_topk_all"](spark, str(tmp_path)).collect()
     assert time.time() - began < 60
     assert {r["query"] for r in rows if r["rank"] == 1} == set(words) == {r["word"] for r in rows}
+
+
+def test_round_robin_lists_no_pair_beyond_the_bands(spark, tmp_path, monkeypatch):
+    """Every seeded pair used to be listed and ranked; only the best of the bands may be, with the same turns."""
+    consonants = "bdfgklmnprvz"
+    words = sorted({"".join(consonants[(i * (j + 1) + j) % 12] + "a" * (i % 3 == j % 3) for j in range(6 + i % 4)) for i in range(300)})
+    spark.createDataFrame([(20, " ".join(words))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(R.P, "seeds", None)
+    monkeypatch.setattr(seeds, "ENTRIES", 50)
+    rows = R.QUERIES["length_band_round_robin_all"](spark, str(tmp_path)).collect()
+    bare = {w: [c for c in w if c != "a"] for w in words}
+    kmers = {w: [f"{a} {b}" for a, b in zip(s, s[1:])] for w, s in bare.items()}
+    want = set()
+    for q in words:
+        have = Counter(kmers[q])
+        ranked = sorted((-sum(have[k] for k in set(kmers[w])), w) for w in words if set(kmers[w]) & set(have))
+        bands = [[w for _, w in ranked[25:] if abs(len(w) - len(q)) == delta] for delta in range(3)]
+        turns = sorted((i, delta, w) for delta, band in enumerate(bands) for i, w in enumerate(band))
+        want |= {(q, w, delta, turn) for turn, (_, delta, w) in enumerate(turns[:25], 1)}
+    assert want and {tuple(r) for r in rows} == want
